@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import sp_codec
+from millrace.llm import exact_dedup, simhash, sp_codec
 
 QUERIES = {
+    "op4_exact_dedup": exact_dedup.query,
     "op6_sentencepiece": sp_codec.query,
+    "op9_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_exact_dedup": exact_dedup.SQL,
+}
