@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, simhash, sp_codec
+from millrace.llm import chat, exact_dedup, mix, simhash, sp_codec
 
 QUERIES = {
+    "op2_mix": mix.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_sentencepiece": sp_codec.query,
+    "op8_chat": chat.query,
     "op9_simhash": simhash.query,
 }
 
 ORACLE_SQL = {
+    "op2_mix": mix.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op8_chat": chat.SQL,
 }
