@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, exact_dedup, mix, simhash, sp_codec
+from millrace.llm import chat, exact_dedup, language_id, mix, simhash, sp_codec, topk
 
 QUERIES = {
+    "op1_topk": topk.query,
     "op2_mix": mix.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_language_id": language_id.query,
     "op6_sentencepiece": sp_codec.query,
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,
 }
 
 ORACLE_SQL = {
+    "op1_topk": topk.SQL,
     "op2_mix": mix.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_chat": chat.SQL,
