@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, exact_dedup, language_id, mix, simhash, sp_codec, topk
+from millrace.llm import chat, exact_dedup, importance, language_id, mix, pii, simhash, sp_codec, topk
 
 QUERIES = {
     "op1_topk": topk.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_language_id": language_id.query,
     "op6_sentencepiece": sp_codec.query,
+    "op7_pii": pii.query,
     "op8_chat": chat.query,
     "op9_simhash": simhash.query,
+    "op10_importance": importance.query,
 }
 
 ORACLE_SQL = {
