@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import binary_fuse
+from millrace.llm.rows import row_tag, staying
 from millrace.plans.durable import broadcast_if_small, durable
 
 KEY = ["sha", "norm_len"]
@@ -37,10 +38,10 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, sha, norm_len, best`` for each row; the greatest ``best`` of a class is the row that stays."""
+    """``doc_id, tag, sha, norm_len, best`` for each row; the greatest ``best`` of a class is the row that stays."""
     norm = normalised(F.col("text"))
     best = F.struct(F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.bitwise_not("doc_id").alias("inv_id"))
-    return docs.select("doc_id", F.unhex(F.sha2(norm.cast("binary"), 256)).alias("sha"), F.octet_length(norm).alias("norm_len"), best.alias("best"))
+    return docs.select("doc_id", row_tag().alias("tag"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("sha"), F.octet_length(norm).alias("norm_len"), best.alias("best"))
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def _check_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def exact_dedup(known: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Every row of both: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """Every row of both: ``doc_id, keep_id, group_size, kept, text_sha256``, and ``tag, stays`` for ``staying``.
 
     ``known`` is the earlier batch, made into a snapshot; ``incoming`` the new one. Either may be empty.
     """
@@ -108,7 +109,7 @@ def exact_dedup(known: DataFrame, incoming: DataFrame) -> DataFrame:
     every = durable(met.unionByName(screened.filter("not maybe").select(*KEY, "n", "best")))
     repeated = durable(_check_bytes(docs, every.filter("n > 1")))
     # ids outside the repeated classes are their own; those inside look their class up
-    found = every.filter("n > 1").join(repeated, "sha").select(*KEY, "n", F.bitwise_not("best.inv_id").alias("keep_id"))
+    found = every.filter("n > 1").join(repeated, "sha").select(*KEY, "n", F.bitwise_not("best.inv_id").alias("keep_id"), F.col("best").alias("class_best"))
     found = broadcast_if_small(durable(found), SMALL)
     rows = old.unionByName(new).join(found, KEY, "left")
     keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -118,9 +119,17 @@ def exact_dedup(known: DataFrame, incoming: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "tag",
+        (F.col("n").isNull() | F.col("best").eqNullSafe(F.col("class_best"))).alias("stays"),
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each class of equal texts."""
+    first = first_batch(docs)
+    return staying(docs, exact_dedup(docs.filter(first), docs.filter(~first)))
+
+
 def first_batch(docs: DataFrame) -> Column:
     """The split into two batches that the query and the pipeline make of one table: by the id's checksum."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 2 == 0
@@ -129,7 +138,7 @@ def first_batch(docs: DataFrame) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, taken in as two batches: the first becomes the snapshot, the second is screened against it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_dedup(docs.filter(first_batch(docs)), docs.filter(~first_batch(docs)))
+    return exact_dedup(docs.filter(first_batch(docs)), docs.filter(~first_batch(docs))).drop("tag", "stays")
 
 
 SQL = r"""

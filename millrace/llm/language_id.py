@@ -173,6 +173,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     """``keep`` columns, ``lang_pred``, ``score`` for every row, from the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    more = [] if "text" in keep else [F.col("text")]
+    text_at = len(keep) if more else keep.index("text")
 
     def run(batches):
         m = sent.value
@@ -180,7 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(len(keep)).to_pylist()]
+                texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(text_at).to_pylist()]
                 split = [t.lower().split() for t in texts]
                 preds, scores = [UNKNOWN] * len(split), np.zeros(len(split))
                 needed = list(set().union(*split))
@@ -195,7 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
                             preds[i], scores[i] = m.langs[best], 1 / np.exp(logs - logs[best]).sum()
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(preds, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, *more).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out() -> Column:

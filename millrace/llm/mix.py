@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.cut import take_until
+from millrace.llm.rows import row_tag
 from millrace.plans.durable import broadcast_if_small, durable
 
 BUCKETS = 4096
@@ -51,13 +52,13 @@ def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3
 
 
 def mix(docs: DataFrame, seed: int = 11, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), weight_col: str | None = None) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` for every row; the mix takes the whole text ``copies`` times.
+    """``doc_id, source, tag, size, source_size, target, copies`` for every row; the mix takes the whole text ``copies`` times.
 
     ``weight_col`` (positive; null and others count as 0): wanted copies are in proportion to it within the
     source, stopping at ``most``; what stops there is not shared again.
     """
     own = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.nanvl(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    rows = durable(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u"), own.alias("own")))
+    rows = durable(docs.select("doc_id", "source", row_tag().alias("tag"), words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), seed).alias("u"), own.alias("own")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("own") * F.col("size")).cast("decimal(38,6)")).cast("double").alias("own_size"))
     sums = durable(sums)
     shares = targets(sums.select("source", "source_size"), most, weights).withColumnRenamed("source", "named")
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, seed: int = 11, most: int = 3, weights: tuple[int, ...]
         rows = rows.join(left, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     picked = take_until(rows, "source", ["rank", F.col("doc_id").asc_nulls_last(), "size"], "bucket", "size", "budget")
     extra = (F.col("picked") & (F.col("p") > 0)).cast("long")
-    return picked.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + extra).alias("copies"))
+    return picked.select("doc_id", "source", "tag", "size", "source_size", "target", (F.col("sure") + extra).alias("copies"))
 
 
 def mean_copies() -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, exact_dedup, importance, language_id, mix, pii, simhash, sp_codec, topk
+from millrace.llm import chat, ctw, exact_dedup, importance, language_id, mix, pii, simhash, sp_codec, topk
 
 QUERIES = {
     "op1_topk": topk.query,
     "op2_mix": mix.query,
+    "op3_ctw": ctw.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_language_id": language_id.query,
     "op6_sentencepiece": sp_codec.query,

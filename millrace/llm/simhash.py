@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.rows import row_tag, staying
 from millrace.plans.components import connected_components
 from millrace.plans.durable import broadcast_if_small, durable
 
@@ -50,15 +51,15 @@ def _fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
+    """``doc_id``, ``tag`` of the row and ``fp`` (the 64 bits as a signed long) of every row."""
 
     def run(batches):
         for b in batches:
-            prints = np.array([_fingerprint(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([_fingerprint(t.as_buffer().to_pybytes(), shingle) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "tag", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", row_tag().alias("tag"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, tag long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -129,14 +130,24 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = 20_000) -> D
 
 
 def simhash_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id, component_fp`` for every row of ``docs``; the last is the class's own key, which is never null."""
+    """``doc_id, tag, fp, component_id, component_fp`` for every row of ``docs``; the last is the class's own key, which is never null."""
     rows = durable(fingerprints(docs, shingle))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(fingerprint_links(distinct.select("fp"), radius))
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component_fp", F.coalesce("component", "fp"))
     ids = named.groupBy("component_fp").agg(F.min("least").alias("component_id"))
     classes = broadcast_if_small(durable(named.join(ids, "component_fp").select("fp", "component_fp", "component_id")), 200_000)
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "component_fp")
+    return rows.join(classes, "fp").select("doc_id", "tag", "fp", "component_id", "component_fp")
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the row of the smallest id (null last)."""
+    judged = durable(simhash_dedup(docs, radius, shingle))
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")
+    best = judged.groupBy("component_fp").agg(F.min(own).alias("best"), F.count("*").alias("n"))
+    best = broadcast_if_small(durable(best.filter("n > 1").select("component_fp", "best")), 200_000)
+    judged = judged.join(best, "component_fp", "left").select("doc_id", "tag", (F.col("best").isNull() | own.eqNullSafe(F.col("best"))).alias("stays"))
+    return staying(docs, judged)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

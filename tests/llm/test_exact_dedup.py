@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import binary_fuse
-from millrace.llm.exact_dedup import SQL, exact_dedup, query
+from millrace.llm.exact_dedup import SQL, drop_copies, exact_dedup, query
 
 
 def brute(rows):
@@ -37,8 +37,17 @@ def test_cases(spark):
     extra = [f"{i} as {c}" for i, c in enumerate(("sha", "n", "best", "keep_id", "shard"))]
     for x, y, rows in ((left, right, a + b), (left.limit(0), right, b), (left, right.limit(0), a), (left.limit(0), right.limit(0), [])):
         got = exact_dedup(x.selectExpr("*", *extra), y)
-        assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+        assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "tag", "stays"]
+        assert sorted(map(tuple, got.drop("tag", "stays").collect()), key=str) == brute(rows)
+
+
+def test_drop_copies(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (1, "ab", "t"), (2, "a b", "u"), (None, None, "v"), (None, "", "w"), (3, "c", None), (1, "d", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, drop_copies(df).collect()), key=str)
+    assert [g for g in got if g[0] is not None] == [(1, "a b", "s"), (1, "d", "s"), (3, "c", None)]
+    assert len([g for g in got if g[0] is None]) == 1
+    assert drop_copies(df.limit(0)).collect() == []
 
 
 def test_query_matches_sql(spark):
