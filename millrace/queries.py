@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import millrace.operators  # noqa: F401
+from millrace.operators.tokens import SIMPLIFIED, TRADITIONAL, TREEBANK
 from millrace.plans.pipeline import Pipeline, run_operator
 from millrace.streaming import over_stream
 
@@ -172,9 +173,9 @@ def filter_obscure_char_reducer(spark, sf_dir):
     return run_operator("filter_obscure_char_reducer", docs(spark, sf_dir), field="text")
 
 
-@query("SELECT quantile_disc(o_totalprice, 0.95) AS o_totalprice FROM orders")
+@query("SELECT quantile_disc(l_quantity, 0.95) AS l_quantity FROM lineitem")
 def percentile_reducer(spark, sf_dir):
-    return run_operator("percentile_reducer", table(spark, sf_dir, "orders"), field="o_totalprice")
+    return run_operator("percentile_reducer", table(spark, sf_dir, "lineitem"), field="l_quantity")
 
 
 KEEP = "row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id)"
@@ -227,12 +228,12 @@ def character_removal(spark, sf_dir):
     return run_operator("character_removal_mapper", docs(spark, sf_dir), field="text", output_field="text", characters_to_remove="aeiou.,")
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(text, '[^\P{C}\n]|[^\P{Z} ]', '', 'g') AS text FROM documents")
 def unprintable_char_remove(spark, sf_dir):
     return run_operator("unprintable_char_remove_mapper", docs(spark, sf_dir), field="text", output_field="text")
 
 
-@query()
+@query(f"SELECT doc_id, translate(text, '{TRADITIONAL}', '{SIMPLIFIED}') AS text FROM documents")
 def chinese_traditional_to_simple(spark, sf_dir):
     return run_operator("chinese_traditional_to_simple_mapper", docs(spark, sf_dir), field="text", output_field="text")
 
@@ -261,12 +262,22 @@ def duplicate_paragraph_chr_fraction(spark, sf_dir):
     return run_operator("duplicate_paragraph_chr_fraction_mapper", docs(spark, sf_dir), field="text", output_field="share", drop=["text"])
 
 
-@query()
+def _grams(low: int, high: int, name: str, top: bool) -> str:
+    """Windows over all positions: which n-grams start there, whether they count, which characters they reach."""
+    hit = "n > 1" if not top else "g = first_value(g) OVER (PARTITION BY doc_id ORDER BY n DESC, i)"
+    one = """SELECT doc_id, avg(hit)::DOUBLE AS f{n} FROM (SELECT doc_id, max(start) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {back} PRECEDING AND CURRENT ROW) AS hit FROM (
+      SELECT doc_id, i, CASE WHEN length(g) = {n} AND {hit} THEN 1 ELSE 0 END AS start FROM (SELECT *, CASE WHEN length(g) = {n} THEN count(*) OVER (PARTITION BY doc_id, g) ELSE 0 END AS n FROM (SELECT doc_id, i, substr(text, i, {n}) AS g FROM p)))) GROUP BY doc_id"""
+    parts = " ".join(f"LEFT JOIN ({one.format(n=n, back=n - 1, hit=hit)}) t{n} USING (doc_id)" for n in range(low, high + 1))
+    columns = ", ".join(f"coalesce(f{n}, 0) AS {name.format(n)}" for n in range(low, high + 1))
+    return f"WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents) SELECT doc_id, {columns} FROM documents {parts}"
+
+
+@query(_grams(5, 10, "dup_{}_ngram_chr_fraction", False))
 def duplicate_ngram_chr_fraction(spark, sf_dir):
     return run_operator("duplicate_ngram_chr_fraction_mapper", docs(spark, sf_dir), field="text", drop=["text"])
 
 
-@query()
+@query(_grams(3, 5, "top_{}_gram_chr_fraction", True))
 def top_ngram_chr_fraction(spark, sf_dir):
     return run_operator("top_ngram_chr_fraction_mapper", docs(spark, sf_dir), field="text", drop=["text"])
 
@@ -284,14 +295,23 @@ def url_component_extraction(spark, sf_dir):
     return run_operator("url_component_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "url"), field="url", drop=["url"])
 
 
-@query()
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) ||
+  coalesce('?' || array_to_string(list_sort(string_split(nullif(regexp_extract(url, '\?([^#]*)', 1), ''), '&')), '&'), '') AS url FROM pages""")
 def url_normalization(spark, sf_dir):
     return run_operator("url_normalization_mapper", table(spark, sf_dir, "pages").select("page_id", "url"), field="url", output_field="url")
 
 
-@query()
+@query("SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') || '|' || strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS dates FROM events")
 def datetime_extraction(spark, sf_dir):
-    return run_operator("datetime_extraction_mapper", docs(spark, sf_dir), field="text", output_field="dates", drop=["text"])
+    said = F.concat(F.lit("Seen on "), F.date_format("ts", "yyyy-MM-dd 'at' HH:mm"), F.lit(", noted "), F.date_format("ts", "MMMM d, yyyy"), F.lit("."))
+    found = run_operator("datetime_extraction_mapper", table(spark, sf_dir, "events").select("event_id", said.alias("text")), field="text", output_field="dates", drop=["text"])
+    return found.withColumn("dates", F.array_join("dates", "|"))
+
+
+@query("SELECT doc_id, '' AS dates FROM documents WHERE NOT regexp_matches(text, '[0-9]{4}')")
+def datetime_extraction_documents(spark, sf_dir):
+    found = run_operator("datetime_extraction_mapper", docs(spark, sf_dir), field="text", output_field="dates")
+    return found.filter(~F.col("text").rlike("[0-9]{4}")).select("doc_id", F.array_join("dates", "|").alias("dates"))
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT - 28800 AS seconds FROM events")
@@ -305,19 +325,29 @@ def html_content_extract(spark, sf_dir):
     return run_operator("html_content_extract_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="text", drop=["html"])
 
 
-@query()
+@query("""SELECT DISTINCT page_id, class FROM (SELECT page_id, unnest(string_split_regex(c, '\\s+')) AS class FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[^<>]* class="([^"]*)"', 1)) AS c FROM pages)) WHERE class <> ''""")
 def css_extraction(spark, sf_dir):
-    return run_operator("css_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="classes", drop=["html"])
+    found = run_operator("css_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="classes", drop=["html"])
+    return run_operator("explode", found, field="classes", exploded_cols=["class"], drop=["classes"])
 
 
-@query()
+@query("SELECT page_id, regexp_extract(html, '<article.*?(<h1>.*?</h1>)', 1, 's') AS heads FROM pages")
 def dom_element_extraction(spark, sf_dir):
     return run_operator("dom_element_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="heads", css_selector="article h1", drop=["html"])
 
 
-@query()
+def _treebank() -> str:
+    text = "text"
+    for pattern, to in TREEBANK:
+        quoted = [x.replace("'", "''") for x in (pattern, to.replace("$", "\\"))]
+        text = f"regexp_replace({text}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return f"SELECT doc_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS tokens FROM documents"
+
+
+@query(_treebank())
 def nltk_tokenizer(spark, sf_dir):
-    return run_operator("nltk_tokenizer_mapper", docs(spark, sf_dir), field="text", output_field="tokens", drop=["text"])
+    made = run_operator("nltk_tokenizer_mapper", docs(spark, sf_dir), field="text", output_field="tokens", drop=["text"])
+    return made.withColumn("tokens", F.array_join("tokens", " "))
 
 
 @query()
@@ -330,11 +360,15 @@ def language_identification(spark, sf_dir):
     return run_operator("language_identification_mapper", docs(spark, sf_dir), field="text", output_field="language", drop=["text"])
 
 
-@query()
+ACCENTED = "éèàçêäöüßñíóú"
+
+
+@query(f"""SELECT doc_id, CASE WHEN a >= 0.02 THEN 'accented' ELSE 'other' END AS label, 1 / (1 + exp(-abs(a - 0.02))) AS prob FROM (SELECT doc_id,
+  (length(t) - length(regexp_replace(t, '[{ACCENTED}]', '', 'g'))) / length(t) AS a FROM (SELECT doc_id, replace(text, chr(10), '') AS t FROM documents))""")
 def fasttext_model(spark, sf_dir):
     path = os.path.join(tempfile.gettempdir(), f"millrace-{uuid.uuid4().hex}.json")
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({"ngrams": [1, 1], "bias": {"other": 0.02}, "weights": {"accented": dict.fromkeys("éèàçêäöüßñíóú", 1.0), "other": {}}}, f)
+        json.dump({"ngrams": [1, 1], "bias": {"other": 0.02}, "weights": {"accented": dict.fromkeys(ACCENTED, 1.0), "other": {}}}, f)
     # the worker reads the model from wherever Spark keeps sent files
     spark.sparkContext.addFile(path)
     from pyspark import SparkFiles
