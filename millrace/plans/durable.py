@@ -9,6 +9,7 @@ absent (tests, a laptop) a temporary folder is made once for the session.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, _made[app], True)
     return _made[app]
 
 
