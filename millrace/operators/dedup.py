@@ -119,9 +119,6 @@ def exact_deduplicator(df: DataFrame, field: str, mode: DedupMode = "dedup", ord
     return keep_by(df.withColumn("gid", F.sha2(F.col(f"`{field}`").cast("binary"), 256)), "gid", mode, order_by, comparison_function)
 
 
-PRIME = np.uint64((1 << 61) - 1)
-
-
 @lru_cache(8)
 def best_bands(threshold: float, num_perm: int) -> tuple[int, int]:
     """Bands and rows a band with the least sum of false-positive and false-negative area, by quadrature."""
@@ -135,15 +132,6 @@ def best_bands(threshold: float, num_perm: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _mulmod(h: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """(a * h) modulo 2^61 - 1 for h below 2^32 and a below 2^61, in 64-bit arithmetic."""
-    low = (a & np.uint64(0xFFFFFFFF)) * h
-    high = (a >> np.uint64(32)) * h
-    high = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29))
-    total = (low & PRIME) + (low >> np.uint64(61)) + (high & PRIME) + (high >> np.uint64(61))
-    return total % PRIME
-
-
 def band_hashes(tokens: list[str], ngram: int, num_perm: int, b: int, r: int, seed: int) -> np.ndarray:
     """One 64-bit hash for each band of the MinHash signature of a text's token n-grams."""
     import xxhash
@@ -151,11 +139,12 @@ def band_hashes(tokens: list[str], ngram: int, num_perm: int, b: int, r: int, se
     n = max(1, len(tokens) - ngram + 1)
     grams = {" ".join(tokens[i : i + ngram]).lower() for i in range(n)}
     h = np.fromiter((xxhash.xxh32_intdigest(g.encode()) for g in grams), np.uint64, len(grams))
+    # multiply-shift hashing (Dietzfelbinger, 1996): strongly universal from 32 bits to 32 bits, without a modulus
     rng = np.random.default_rng(seed)
-    a, c = rng.integers(1, int(PRIME), num_perm, np.uint64), rng.integers(0, int(PRIME), num_perm, np.uint64)
-    signature = np.full(num_perm, np.iinfo(np.uint64).max, np.uint64)
+    a, c = rng.integers(0, 2**64, num_perm, np.uint64, endpoint=False), rng.integers(0, 2**64, num_perm, np.uint64, endpoint=False)
+    signature = np.full(num_perm, 2**32 - 1, np.uint64)
     for at in range(0, len(h), 1024):
-        signature = np.minimum(signature, ((_mulmod(h[at : at + 1024, None], a[None]) + c) % PRIME).min(axis=0))
+        signature = np.minimum(signature, ((h[at : at + 1024, None] * a + c) >> np.uint64(32)).min(axis=0))
     return np.array([xxhash.xxh64_intdigest(signature[i * r : (i + 1) * r].tobytes(), i) for i in range(b)], np.uint64).view(np.int64)
 
 
