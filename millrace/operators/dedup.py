@@ -10,20 +10,20 @@ from typing import Any, Literal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.plans.components import connected_components
-from millrace.plans.durable import durable
+from millrace.plans.durable import broadcast_if_small, durable
 from millrace.plans.registry import operator
 
 DedupMode = Literal["dedup", "dup", "dedup_with_dup"]
 
 
-def _ranked(order_by: list[str] | None, columns: list[str], schema: T.StructType) -> tuple[Column, bool] | None:
-    """What orders rows of a class, as one comparable struct, and whether the greatest stays. None: directions differ and can't be turned round."""
+def _ranked(order_by: list[str] | None, df: DataFrame) -> tuple[Column, bool] | None:
+    """What orders rows of a class, as one comparable struct, and whether the greatest stays. None: directions differ, so no one aggregate says it."""
     parts = []
     for text in order_by or []:
         m = re.fullmatch(r"(?is)\s*(.+?)(?:\s+(asc|desc))?\s*", text)
@@ -31,9 +31,9 @@ def _ranked(order_by: list[str] | None, columns: list[str], schema: T.StructType
     down = {d for _, d in parts}
     if len(down) > 1:
         return None
-    # what is left equal goes by the whole row, so that the choice does not depend on the layout
-    ties = [F.col(f"`{c}`") if not isinstance(schema[c].dataType, (T.MapType, T.VariantType)) else F.to_json(F.col(f"`{c}`")) for c in columns]
-    return F.struct(*(c.alias(f"o{i}") for i, (c, _) in enumerate(parts)), *(c.alias(f"t{i}") for i, c in enumerate(ties))), down == {True}
+    # what is left equal goes by a hash of the row, so that the choice does not depend on the layout
+    plain = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema]
+    return F.struct(*(c.alias(f"o{i}") for i, (c, _) in enumerate(parts)), F.xxhash64(F.lit(0), *plain).alias("h")), down == {True}
 
 
 def _compiled(source: Any):
@@ -79,34 +79,54 @@ def _tournament(df: DataFrame, key: str, source: Any) -> DataFrame:
     return once.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(final, df.schema)
 
 
+def _by_mode(df: DataFrame, stays: Column, mode: str) -> DataFrame:
+    if mode == "dedup_with_dup":
+        return df.withColumn("__stay__", stays)
+    return df.filter(stays if mode == "dedup" else ~stays)
+
+
+def _by_aggregate(df: DataFrame, key: str, mode: str, order: Column, greatest: bool, alone: Column | None) -> DataFrame:
+    """The best of each class by an aggregate, combined map-side; then rows meet only the classes that have several.
+
+    Texts are shuffled only if those classes are too many to broadcast. Rows equal in all columns are told apart last, by themselves.
+    """
+    several = df if alone is None else df.filter(~alone)
+    best = several.select(key, order.alias("o_")).groupBy(key).agg((F.max if greatest else F.min)("o_").alias("best_"), F.count("*").alias("n_"))
+    best = durable(best.filter("n_ > 1").select(F.col(key).alias("key_"), "best_"))
+    small = broadcast_if_small(best, 200_000)
+    met = df.withColumn("o_", order).join(small, F.col(key).eqNullSafe(F.col("key_")), "left")
+    chosen = F.col("o_").eqNullSafe(F.col("best_"))
+    equal = durable(met.filter(F.col("best_").isNotNull() & chosen).groupBy(key).agg(F.count("*").alias("n_")).filter("n_ > 1").select(F.col(key).alias("equal_"), F.lit(True).alias("several_")))
+    stays = F.col("best_").isNull() | chosen
+    if not equal.limit(1).count():
+        return _by_mode(met, stays, mode).drop("o_", "key_", "best_")
+    met = met.join(broadcast_if_small(equal, 200_000), chosen & F.col(key).eqNullSafe(F.col("equal_")), "left")
+    rest = _by_mode(met.filter("several_ IS NULL"), stays, mode)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("o_"))
+    ones = _by_mode(met.filter("several_").withColumn("first_", number == 1), F.col("first_"), mode).drop("first_")
+    return rest.unionByName(ones).drop("o_", "key_", "best_", "equal_", "several_")
+
+
 def keep_by(df: DataFrame, key: str, mode: str, order_by: list[str] | None, comparison_function: Any = None, alone: Column | None = None) -> DataFrame:
     """``df`` by mode: the row of each ``key`` that stays, the others, or all with ``__stay__``. Rows where ``alone`` holds always stay."""
     if order_by and comparison_function:
         raise ValueError("order_by and comparison_function exclude each other")
-    columns = [c for c in df.columns if c != key]
+    ranked = None if comparison_function else _ranked(order_by, df)
+    if ranked:
+        return _by_aggregate(df, key, mode, *ranked, alone)
     rows = durable(df.withColumn("row_", F.monotonically_increasing_id()))
     several = rows if alone is None else rows.filter(~alone)
-    ranked = None if comparison_function else _ranked(order_by, columns, df.schema)
     if comparison_function:
         stay = _tournament(several, key, comparison_function).select("row_")
-    elif ranked:
-        order, greatest = ranked
-        # an aggregate, combined map-side: a class with a third of all rows is one row of each task
-        pick = (F.max_by if greatest else F.min_by)("row_", F.struct(order, "row_"))
-        stay = several.groupBy(key).agg(pick.alias("row_")).select("row_")
     else:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(key).orderBy(*(F.expr(re.sub(r"(?i)\s+(asc|desc)\s*$", "", o)).desc() if re.search(r"(?i)\sdesc\s*$", o) else F.expr(re.sub(r"(?i)\s+asc\s*$", "", o)) for o in order_by), "row_")
+        down = [bool(re.search(r"(?i)\sdesc\s*$", o)) for o in order_by]
+        bare = [F.expr(re.sub(r"(?i)\s+(asc|desc)\s*$", "", o)) for o in order_by]
+        w = Window.partitionBy(key).orderBy(*(c.desc() if d else c.asc() for c, d in zip(bare, down, strict=True)), "row_")
         stay = several.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").select("row_")
     if alone is not None:
         stay = stay.unionByName(rows.filter(alone).select("row_"))
-    if mode == "dedup":
-        return rows.join(stay, "row_", "left_semi").drop("row_")
-    if mode == "dup":
-        return rows.join(stay, "row_", "left_anti").drop("row_")
-    flagged = rows.join(stay.withColumn("__stay__", F.lit(True)), "row_", "left").drop("row_")
-    return flagged.withColumn("__stay__", F.coalesce("__stay__", F.lit(False)))
+    met = rows.join(stay.withColumn("stays_", F.lit(True)), "row_", "left")
+    return _by_mode(met, F.coalesce("stays_", F.lit(False)), mode).drop("row_", "stays_")
 
 
 @operator("exact_deduplicator", "table")

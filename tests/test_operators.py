@@ -58,6 +58,11 @@ def test_exact_dedup(spark):
     assert sorted((r.score, r["__stay__"]) for r in flags.collect()) == [(0.1, False), (0.2, True), (0.3, True), (0.4, True), (1.0, False), (2.0, True)]
     body = "return r1 if r1['score'] > r2['score'] else r2"
     assert sorted(values(run(spark, "exact_deduplicator", rows, schema, field="content", comparison_function=body), "score")) == [0.2, 0.3, 0.4, 2.0]
+    twins = [("a", 0.1)] * 3 + [("b", 1.0), ("a", 0.1), (None, None), (None, None)]
+    assert len(run(spark, "exact_deduplicator", twins, schema, field="content").collect()) == 3
+    assert len(run(spark, "exact_deduplicator", twins, schema, field="content", mode="dup").collect()) == 4
+    assert sum(values(run(spark, "exact_deduplicator", twins, schema, field="content", mode="dedup_with_dup"), "__stay__")) == 3
+    assert run(spark, "exact_deduplicator", [], schema, field="content").collect() == []
     mixed = run(spark, "exact_deduplicator", rows, schema, field="content", order_by=["length(content)", "score desc"])
     assert sorted(values(mixed, "score")) == [0.2, 0.3, 0.4, 2.0]
     with pytest.raises(ValueError):
