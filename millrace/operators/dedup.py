@@ -85,13 +85,12 @@ def _by_mode(df: DataFrame, stays: Column, mode: str) -> DataFrame:
     return df.filter(stays if mode == "dedup" else ~stays)
 
 
-def _by_aggregate(df: DataFrame, key: str, mode: str, order: Column, greatest: bool, alone: Column | None) -> DataFrame:
+def _by_aggregate(df: DataFrame, key: str, mode: str, order: Column, greatest: bool) -> DataFrame:
     """The best of each class by an aggregate, combined map-side; then rows meet only the classes that have several.
 
     Texts are shuffled only if those classes are too many to broadcast. Rows equal in all columns are told apart last, by themselves.
     """
-    several = df if alone is None else df.filter(~alone)
-    best = several.select(key, order.alias("o_")).groupBy(key).agg((F.max if greatest else F.min)("o_").alias("best_"), F.count("*").alias("n_"))
+    best = df.select(key, order.alias("o_")).groupBy(key).agg((F.max if greatest else F.min)("o_").alias("best_"), F.count("*").alias("n_"))
     best = durable(best.filter("n_ > 1").select(F.col(key).alias("key_"), "best_"))
     small = broadcast_if_small(best, 200_000)
     met = df.withColumn("o_", order).join(small, F.col(key).eqNullSafe(F.col("key_")), "left")
@@ -107,24 +106,21 @@ def _by_aggregate(df: DataFrame, key: str, mode: str, order: Column, greatest: b
     return rest.unionByName(ones).drop("o_", "key_", "best_", "equal_", "several_")
 
 
-def keep_by(df: DataFrame, key: str, mode: str, order_by: list[str] | None, comparison_function: Any = None, alone: Column | None = None) -> DataFrame:
-    """``df`` by mode: the row of each ``key`` that stays, the others, or all with ``__stay__``. Rows where ``alone`` holds always stay."""
+def keep_by(df: DataFrame, key: str, mode: str, order_by: list[str] | None, comparison_function: Any = None) -> DataFrame:
+    """``df`` by mode: the row of each ``key`` that stays, the others, or all with ``__stay__``."""
     if order_by and comparison_function:
         raise ValueError("order_by and comparison_function exclude each other")
     ranked = None if comparison_function else _ranked(order_by, df)
     if ranked:
-        return _by_aggregate(df, key, mode, *ranked, alone)
+        return _by_aggregate(df, key, mode, *ranked)
     rows = durable(df.withColumn("row_", F.monotonically_increasing_id()))
-    several = rows if alone is None else rows.filter(~alone)
     if comparison_function:
-        stay = _tournament(several, key, comparison_function).select("row_")
+        stay = _tournament(rows, key, comparison_function).select("row_")
     else:
         down = [bool(re.search(r"(?i)\sdesc\s*$", o)) for o in order_by]
         bare = [F.expr(re.sub(r"(?i)\s+(asc|desc)\s*$", "", o)) for o in order_by]
         w = Window.partitionBy(key).orderBy(*(c.desc() if d else c.asc() for c, d in zip(bare, down, strict=True)), "row_")
-        stay = several.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").select("row_")
-    if alone is not None:
-        stay = stay.unionByName(rows.filter(alone).select("row_"))
+        stay = rows.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").select("row_")
     met = rows.join(stay.withColumn("stays_", F.lit(True)), "row_", "left")
     return _by_mode(met, F.coalesce("stays_", F.lit(False)), mode).drop("row_", "stays_")
 
@@ -176,7 +172,7 @@ def minhash_lsh_deduplicator(
     """Near-duplicates by MinHash over token n-grams, joined where a band of the signatures is equal, with everything that links reach.
 
     The field is a text (split at non-word characters) or an array of tokens. Rows with fewer than ``text_min_length`` tokens, and
-    nulls, are left out of every mode. ``__component__`` is the class's number, null for a row that has no near-duplicate.
+    nulls, are left out of every mode. ``__component__`` names the class; a row without near-duplicates is one by itself.
     Modes and ``order_by`` are as for exact duplicates. ``ev_partitions`` is accepted and left to adaptive execution.
     """
     if not 0 < threshold <= 1:
@@ -187,16 +183,20 @@ def minhash_lsh_deduplicator(
     col = F.col(f"`{field}`")
     is_text = isinstance(df.schema[field].dataType, T.StringType)
     tokens = F.split(F.lower(col), r"(?U)\W", -1) if is_text else col
-    rows = durable(df.filter(F.coalesce(F.size(tokens) >= text_min_length, F.lit(False))).withColumn("node_", F.monotonically_increasing_id()))
+    rows = df.filter(F.coalesce(F.size(tokens) >= text_min_length, F.lit(False)))
+    if index_field and index_field not in df.columns:
+        rows = durable(rows.withColumn(index_field, F.monotonically_increasing_id()))
 
     @F.pandas_udf("array<long>")
     def bands(lists: pd.Series) -> pd.Series:
         return pd.Series([band_hashes(["" if t is None else t for t in x], ngram_size, num_perm, b, r, seed) for x in lists])
 
-    entries = durable(rows.select("node_", F.posexplode(bands(tokens)).alias("band", "hash")))
-    first = entries.groupBy("band", "hash").agg(F.min("node_").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    links = entries.join(first, ["band", "hash"]).select(F.col("node_").alias("u"), "v").filter("u <> v")
-    parts = connected_components(links)
-    named = rows.join(parts.select(F.col("node").alias("node_"), F.col("component").alias("__component__")), "node_", "left")
-    named = named.drop("node_") if index_field is None else named.withColumnRenamed("node_", index_field) if index_field not in df.columns else named.drop("node_")
-    return keep_by(named, "__component__", mode, order_by, comparison_function, alone=F.col("__component__").isNull())
+    # equal fields are one node, so a huge group of copies is one row from here on
+    node = F.unhex(F.md5((col if is_text else F.to_json(col)).cast("binary")))
+    entries = durable(rows.select(node.alias("node"), F.posexplode(bands(tokens)).alias("band", "hash")).distinct())
+    first = entries.groupBy("band", "hash").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1")
+    links = entries.join(first, ["band", "hash"]).select(F.col("node").alias("u"), "v")
+    parts = connected_components(links).select(F.col("node").alias("node_"), "component")
+    named = rows.join(broadcast_if_small(parts, 200_000), node == F.col("node_"), "left")
+    named = named.withColumn("__component__", F.lower(F.hex(F.coalesce("component", node)))).drop("node_", "component")
+    return keep_by(named, "__component__", mode, order_by, comparison_function)

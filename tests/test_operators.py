@@ -81,6 +81,8 @@ def test_minhash(spark):
     assert sorted(values(run(spark, "minhash_lsh_deduplicator", rows, schema, mode="dup", **keep), "id")) == [0, 1, 3]
     got = run(spark, "minhash_lsh_deduplicator", rows, schema, mode="dedup_with_dup", **keep).collect()
     assert {r.id: r["__stay__"] for r in got} == {0: False, 1: False, 2: True, 3: False, 6: True}
+    copies = rows + [(7, texts[0], 9.0), (8, texts[0], 8.0), (9, "alone " + texts[3][:0] + " ".join(f"z{i}" for i in range(30)), 0.0)]
+    assert sorted(values(run(spark, "minhash_lsh_deduplicator", copies, schema, **keep), "id")) == [6, 7, 9]
     alone = run(spark, "minhash_lsh_deduplicator", [(1, words, 0.0), (2, other, 0.0)], "id int, tokens array<string>, score double", field="tokens", mode="dup")
     assert alone.collect() == []
 
