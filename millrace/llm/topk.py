@@ -101,6 +101,8 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, slices: int = 2, blo
     wanted = durable(asked.groupBy("cls").agg(F.first("vec").alias("vec")))
     n, n_asked = corpus.count(), wanted.count()
     dims = max(f.agg(F.max(F.size("vec"))).first()[0] or 0 for f in (corpus, wanted))
+    # a block's matrix stays within 64 MB, however many dimensions there are
+    block, query_block = (max(1, min(b, (8 << 20) // max(dims, 1))) for b in (block, query_block))
     n_c, n_q = max(1, -(-n // block)), max(1, -(-n_asked // query_block))
     here = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q")
     blocks = corpus.select("cls", "vec", "least", F.pmod(F.xxhash64("cls"), F.lit(n_c)).cast("int").alias("c"), here).groupBy("q", "c")
