@@ -105,7 +105,8 @@ def null_rows_filter(spark, sf_dir):
     return run_operator("null_rows_filter", table(spark, sf_dir, "events"), field="event_id", fields=["event_id", "value", "props"], select=["event_id"])
 
 
-@query()
+@query("""SELECT doc_id, length(text) > 0 AND coalesce(1 - list_sum(list_transform(list_filter(t, lambda x: regexp_matches(x, '[\\x{FFFD}\\x00-\\x08\\x0E-\\x1F\\x{7F}-\\x{9F}]') OR regexp_full_match(x, '[¡-ÿĀ-ſ]{1,2}') AND NOT regexp_full_match(x, '[àáéóòèÀÉÓ«»¿¡°]')), lambda x: length(x)))
+  / list_sum(list_transform(t, lambda x: length(x))), 1) < 0.5 AS is_garbled FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS t FROM documents)""")
 def garbled_text_filter(spark, sf_dir):
     return run_operator("garbled_text_filter", docs(spark, sf_dir), field="text", mode="tag", drop=["text"])
 
@@ -207,6 +208,11 @@ def sample(spark, sf_dir):
     return run_operator("sample", docs(spark, sf_dir, "doc_id"), sample=100)
 
 
+@query("SELECT least(count(*), 100) AS n, least(count(*), 100) AS ids FROM documents")
+def sample_size(spark, sf_dir):
+    return sample(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
 @query("SELECT o_orderpriority, least(count(*), 50) AS n FROM orders GROUP BY o_orderpriority")
 def stratified_sampler(spark, sf_dir):
     drawn = run_operator("stratified_sampler", table(spark, sf_dir, "orders"), strata_column="o_orderpriority", samples_per_stratum=50)
@@ -383,6 +389,11 @@ def mask_pii(spark, sf_dir):
     return run_operator("mask_pii_mapper", docs(spark, sf_dir), field="text", output_field="masked", mask_map=chosen, drop=["text"])
 
 
+@query(r"SELECT doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b', '<ANONYMIZED>', 'g') AS masked FROM documents")
+def mask_pii_email(spark, sf_dir):
+    return run_operator("mask_pii_mapper", docs(spark, sf_dir), field="text", output_field="masked", mask_map={"EMAIL_ADDRESS": None}, drop=["text"])
+
+
 @query("SELECT item_id, (length(text) + 7)::INTEGER AS length FROM benchmark")
 def litellm(spark, sf_dir):
     def client():
