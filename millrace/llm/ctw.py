@@ -9,9 +9,11 @@ give them. A text's score is the logarithm of its probability under the trained
 How it is done: a pass over the texts cuts them into chunks of some MB, stores each chunk packed, and writes which
 (depth + 1)-grams and words it has. Grams of all chunks are summed, dealt by the two bytes nearest to the coded one, and each
 part computes its subtrees; the nodes of depth 0 and 1, at most 65,536, are joined on the driver. Every chunk then gets
-exactly the entries that its own texts ask for, so no table has to fit one machine, and the shuffles grow as the corpus does.
+the entries that its own texts ask for, so no table has to fit one machine, and the shuffles grow as the corpus does. The
+entries that most chunks ask for, ``HOT`` at most, are sent to all workers once; the others are joined.
 
-Texts are lower-cased (A-Z) first. The base score is of words with add-0.1 smoothing, as in ``score_corpus``.
+Texts are lower-cased (A-Z) first. The base score is of words with add-0.1 smoothing, as in ``score_corpus``. Grams are keys by
+themselves; words are known by 63 bits of their XXH3 hash (a chance of 10^-7 that any two of a million distinct words share one).
 
 Defined results: a null text is empty and has its end to score; null and repeated ids are rows as others (a null id is in
 training); without training texts every bit has probability 1/2; other columns are ignored; an empty table gives an empty one.
@@ -19,20 +21,23 @@ training); without training texts every bit has probability 1/2; other columns a
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import os
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.plans.durable import durable
 
 #: Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SLICE = 2 << 20
+#: Entries that may be broadcast: some 4 MB, whatever the corpus.
+HOT = 1 << 18
 
 
 def held_out() -> Column:
@@ -69,55 +74,45 @@ def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, n, len(found)).astype(np.int64)
 
 
-def _entries(texts: list[bytes], train: np.ndarray, depth: int):
-    """Distinct grams and words with their counts in training texts (0 where only held-out ones have them)."""
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each word, which is negative, and the number of its text."""
+    words = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    return (hashes | np.uint64(1 << 63)).view(np.int64), np.repeat(np.arange(len(texts)), sizes)
+
+
+def _entries(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of grams and words with their counts in training texts (0 where only held-out ones have them)."""
     keys, counts = [], []
     for a, z in _runs(texts):
-        k, own = grams(texts[a:z], depth)
-        codes, unique = pd.factorize(k)
-        keys.append(unique)
-        counts.append(np.bincount(codes, train[a:z][own], len(unique)))
-        if len(keys) == 8:
+        for k, own in (grams(texts[a:z], depth), word_keys(texts[a:z])):
+            codes, unique = pd.factorize(k)
+            keys.append(unique)
+            counts.append(np.bincount(codes, train[a:z][own], len(unique)))
+        if len(keys) >= 12:
             k, c = _sum_by(np.concatenate(keys), np.concatenate(counts))
             keys, counts = [k], [c]
-    words: Counter = Counter()
-    other: set = set()
-    for t, is_train in zip(texts, train.tolist(), strict=True):
-        if is_train:
-            words.update(t.split())
-        else:
-            other.update(t.split())
-    words.update(dict.fromkeys(other, 0))
-    return *_sum_by(np.concatenate(keys), np.concatenate(counts)), words
+    return _sum_by(np.concatenate(keys), np.concatenate(counts))
 
 
-_CHUNK = pa.schema([("chunk", pa.string()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("pack", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("pack", pa.binary())])
 
 
 def _chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
-    """Rows of three kinds: a gram of a chunk, a word of it, and the chunk itself, packed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """Rows of two kinds: a key that a chunk asks for, and the chunk itself, packed."""
 
     def emit(held):
         table = pa.Table.from_batches(held)
-        name = uuid.uuid4().hex[:16]
-        texts = [t.as_buffer().to_pybytes().lower() for t in table.column(2)]
-        keys, counts, words = _entries(texts, ~np.asarray(table.column(1)), depth)
-
-        def batch(rows, **columns):
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CHUNK], schema=_CHUNK)
-
+        name = int.from_bytes(os.urandom(8)) >> 1
+        keys, counts = _entries([t.as_buffer().to_pybytes().lower() for t in table.column(2)], ~np.asarray(table.column(1)), depth)
         for at in range(0, len(keys), 100_000):
             k = keys[at : at + 100_000]
-            yield batch(len(k), chunk=pa.array([name] * len(k)), gram=pa.array(k), n=pa.array(counts[at : at + 100_000]))
-        listed = list(words.items())
-        for at in range(0, len(listed), 100_000):
-            w = listed[at : at + 100_000]
-            yield batch(len(w), chunk=pa.array([name] * len(w)), word=pa.array([x for x, _ in w], pa.binary()), n=pa.array([x for _, x in w], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), name)), pa.array(k), pa.array(counts[at : at + 100_000]), pa.nulls(len(k), pa.binary())], schema=_CHUNK)
         out = pa.BufferOutputStream()
         with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(table)
-        yield batch(1, chunk=pa.array([name]), pack=pa.array([out.getvalue().to_pybytes()], pa.binary()))
+        yield pa.RecordBatch.from_pydict({"chunk": [name], "key": [None], "n": [None], "pack": [out.getvalue().to_pybytes()]}, schema=_CHUNK)
 
     def run(batches):
         held, size = [], 0
@@ -135,8 +130,7 @@ def _chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
             yield from emit(held)
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    out = docs.select("doc_id", held_out().alias("held_out"), text).mapInArrow(run, "chunk string, gram long, word binary, n long, pack binary")
-    return durable(out)
+    return durable(docs.select("doc_id", held_out().alias("held_out"), text).mapInArrow(run, "chunk long, key long, n long, pack binary"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -199,10 +193,7 @@ def _upper(roots: pd.DataFrame):
 
 def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
     """``gram, logp`` (base 10) of the last byte given those before it, from ``gram, n`` of distinct grams."""
-    near2 = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = durable(counts.repartition(near2))
-    # the dealing is repeated, as the written table does not keep it
-    dealt = dealt.repartition(near2)
+    dealt = counts.repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)))
 
     def gather(batches):
         table = pa.Table.from_batches(list(batches), pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
@@ -239,6 +230,18 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
     return dealt.mapInArrow(score, "gram long, logp double")
 
 
+def _often(sums: DataFrame) -> int:
+    """The least number of chunks, two at least, such that no more than ``HOT`` keys are asked for by so many."""
+    steps = sums.filter("asked > 1").groupBy(F.floor(F.log2("asked") * 8).alias("step")).agg(F.count("*").alias("keys"), F.min("asked").alias("least"))
+    held, least = 0, 2**62
+    for r in sorted(steps.collect(), reverse=True):  # some 500 steps at most
+        held += r["keys"]
+        if held > HOT:
+            break
+        least = r["least"]
+    return least
+
+
 def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -> DataFrame:
     """Scores of every row of ``docs``, learnt from those that are not held out.
 
@@ -248,27 +251,22 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
     chunks = _chunks(docs, depth, chunk_bytes)
-    counted = chunks.filter("gram IS NOT NULL")
-    model = gram_scores(counted.groupBy("gram").agg(F.sum("n").alias("n")), depth)
-    asked = counted.select("chunk", "gram").join(durable(model), "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "logp", F.lit(False).alias("first"))
-    same = Window.partitionBy("word")
-    words = chunks.filter("word IS NOT NULL").select("chunk", "word", F.sum("n").over(same).alias("c"), F.min("chunk").over(same).alias("least"))
-    words = words.select("chunk", F.lit(None).cast("long").alias("gram"), "word", "c", F.lit(None).cast("double").alias("logp"), (F.col("least") == F.col("chunk")).alias("first"))
+    asked = chunks.filter("key IS NOT NULL").select("chunk", "key")
+    sums = durable(chunks.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("asked")))
+    model = gram_scores(sums.filter("key >= 0").select(F.col("key").alias("gram"), "n"), depth)
+    answers = model.select(F.col("gram").alias("key"), F.col("logp").alias("value")).unionByName(sums.filter("key < 0").select("key", F.col("n").cast("double").alias("value")))
+    answers = durable(answers)
+    often = sums.filter(F.col("asked") >= _often(sums)).select("key")
+    hot = answers.join(often, "key").toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast((hot["key"].to_numpy(np.int64), hot["value"].to_numpy(np.float64)))
+    rest = asked.join(F.broadcast(often), "key", "left_anti").join(answers, "key").select("chunk", "key", "value")
     packs = chunks.filter("pack IS NOT NULL").select(F.col("chunk").alias("whole"), "pack")
     kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
     def run(key, packed, entries):
-        is_gram = pa.compute.is_valid(entries.column("gram"))
-        known = entries.filter(is_gram)
-        keys, logp = np.asarray(known.column("gram")), np.asarray(known.column("logp"))
-        listed = entries.filter(pa.compute.invert(is_gram))
-        counts = np.asarray(listed.column("c"))
-        v = int(((counts > 0) & np.asarray(listed.column("first"))).sum())
-        number = dict(zip(listed.column("word").to_pylist(), range(listed.num_rows), strict=True))
-        logs = np.log10(counts + 0.1)
+        keys = np.concatenate([sent.value[0], np.asarray(entries.column("key"))])
+        values = np.concatenate([sent.value[1], np.asarray(entries.column("value"))])
         index = pd.Index(keys)
         tables = []
         for raw in packed.column("pack").to_pylist():
@@ -277,23 +275,21 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -
             n_tokens, n_known, base, score = (np.zeros(len(texts), kind) for kind in (np.int64, np.int64, np.float64, np.float64))
             for a, z in _runs(texts):
                 k, own = grams(texts[a:z], depth)
-                score[a:z] = np.bincount(own, logp[index.get_indexer(k)], z - a)
-            for i, t in enumerate(texts):
-                w = t.split()
-                at = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
-                n_tokens[i], n_known[i], base[i] = len(w), np.count_nonzero(counts[at]), logs[at].sum()
+                score[a:z] = np.bincount(own, values[index.get_indexer(k)], z - a)
+                k, own = word_keys(texts[a:z])
+                counts = values[index.get_indexer(k)]
+                n_tokens[a:z], n_known[a:z] = np.bincount(own, minlength=z - a), np.bincount(own, counts > 0, z - a)
+                base[a:z] = np.bincount(own, np.log10(counts + 0.1), z - a)
             size = np.fromiter(map(len, texts), np.int64, len(texts))
-            columns = [table.column(0), table.column(1), *map(pa.array, (n_tokens, n_known, base, score, size, np.zeros(len(texts), np.int64)))]
+            columns = [table.column(0), table.column(1), *map(pa.array, (n_tokens, n_known, base, score, size))]
             tables.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
-        tables.append(pa.table({f.name: pa.array([v if f.name == "v" else None], f.type) for f in schema}))
-        return pa.concat_tables(tables)
+        return pa.concat_tables(tables) if tables else schema.empty_table()
 
-    spark_schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, v long"
-    found = durable(packs.groupBy("whole").cogroup(asked.unionByName(words).groupBy("chunk")).applyInArrow(run, spark_schema))
-    rows = found.filter("held_out IS NOT NULL")
+    spark_schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+    rows = durable(packs.groupBy("whole").cogroup(rest.groupBy("chunk")).applyInArrow(run, spark_schema))
     trained = F.when(~F.col("held_out"), 1).otherwise(0)
     n_words, n_ends = (x or 0 for x in rows.agg(F.sum(F.col("n_tokens") * trained), F.sum(trained)).first())
-    v = (found.filter("held_out IS NULL").agg(F.sum("v")).first()[0] or 0) + (n_ends > 0)
+    v = sums.filter("key < 0 AND n > 0").count() + (n_ends > 0)
     n = n_words + n_ends
     norm = float(np.log10(n + 0.1 * (v + 1)))
     tokens = F.col("n_tokens") + 1
