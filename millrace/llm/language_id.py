@@ -28,7 +28,7 @@ from millrace.llm.word_cache import WordCache
 
 MARK = "▁"
 UNKNOWN = "und"
-SLICE = 1000
+SLICE = 250
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

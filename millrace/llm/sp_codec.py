@@ -2,9 +2,9 @@
 
 In the vocabularies this takes, no piece has a whitespace marker after another character,
 so no merge crosses the place before a marker: the normalised text can be cut there, each
-distinct marked word segmented once, and the ids put together again by position. Each
-Python worker keeps such a table, of bounded size; words that are not in it yet are given to
-the library in one call per Arrow batch.
+distinct marked word segmented once, and the ids put together again by position. Each task
+keeps such a table, of bounded size; words that are not in it yet are given to the library in
+one call for some hundred texts.
 
 Defined results: a null text is empty, an empty text has no ids and decodes to an empty
 string; the identifier column may hold nulls and repeats, rows are kept one to one; other
@@ -14,6 +14,7 @@ columns of the input are ignored, whatever their names; an empty table gives an
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.word_cache import WordCache
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -29,14 +32,14 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 class ChunkTable:
     """Marked words already segmented: key (the word without its first marker) -> (ids as int32 bytes, text)."""
 
-    def __init__(self, model: str, entries: int = 300_000, longest: int = 64):
+    def __init__(self, model: str, entries: int = 80_000, longest: int = 64):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         crossing = [p for p in map(self.sp.id_to_piece, range(self.sp.get_piece_size())) if MARK in p.lstrip(MARK)]
         if crossing or self.sp.encode("a  a ", out_type=str)[0][0] != MARK:
             raise ValueError("pieces of this model cross whitespace markers, or it does not mark the first word")
-        self.entries, self.longest, self.table = entries, longest, {}
+        self.cache = WordCache(self.segment, entries, longest)
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -47,43 +50,22 @@ class ChunkTable:
                 return words
         return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
-    def segment(self, keys: list[str]) -> dict[str, tuple[bytes, str]]:
+    def segment(self, keys: list[str]) -> list[tuple[bytes, str]]:
         """Ids and text of each key. A lone marker is what the library drops from an otherwise empty text."""
-        out = {}
-        for key, ids in zip(keys, self.sp.encode(keys, num_threads=1) if keys else [], strict=True):
-            ids = ids if key else [self.sp.piece_to_id(MARK)]
-            out[key] = np.asarray(ids, "<i4").tobytes(), " " + self.sp.decode(ids)
-        return out
+        lone = [self.sp.piece_to_id(MARK)]
+        coded = [ids if key else lone for key, ids in zip(keys, self.sp.encode(keys, num_threads=1), strict=True)]
+        texts = self.sp.decode(coded, num_threads=1)
+        return [(array("i", ids).tobytes(), " " + text) for ids, text in zip(coded, texts, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         parts = [self.chunks(t) for t in texts]
-        table = self.table
-        missing = {c for p in parts for c in p if c not in table}
-        if missing:
-            if len(table) + len(missing) > self.entries:
-                table.clear()
-                missing = {c for p in parts for c in p}
-            found = self.segment(list(missing))
-            kept = {k: v for k, v in found.items() if len(k) <= self.longest}
-            if len(table) + len(kept) <= self.entries:
-                table.update(kept)
-            if len(kept) < len(found) or len(kept) > self.entries:
-                table = {**table, **found}
+        table = self.cache.fetch(set().union(*parts))
         for p in parts:
             got = [table[c] for c in p]
             yield b"".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
-def _table(model: str) -> ChunkTable:
-    if model not in _tables:
-        _tables[model] = ChunkTable(model)
-    return _tables[model]
-
-
-def sp_encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_rows: int = 1000) -> DataFrame:
+def sp_encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), slice_rows: int = 250) -> DataFrame:
     """``keep`` columns, ``ids array<int>`` and ``decoded string`` for every row of ``docs``.
 
     ``model`` is the vocabulary file's path, which must be readable on the workers (installed there or sent with
@@ -95,7 +77,7 @@ def sp_encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[s
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        table = _table(model)
+        table = ChunkTable(model)
         for whole in batches:
             for at in range(0, whole.num_rows, slice_rows):
                 b = whole.slice(at, slice_rows)

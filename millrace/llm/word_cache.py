@@ -12,7 +12,7 @@ class WordCache:
     for; words longer than ``longest`` are not kept. Memory: at most two generations and the words of one call.
     """
 
-    def __init__(self, compute: Callable[[list], list], entries: int = 200_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list], list], entries: int = 60_000, longest: int = 64):
         self.compute, self.entries, self.longest = compute, entries, longest
         self.young: dict = {}
         self.old: dict = {}
