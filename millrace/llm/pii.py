@@ -103,8 +103,7 @@ _SIGNS = re.compile(
     rf"|(?P<run>(?:\bplus\b{_GAP})?\b(?:{_ONE})\b(?:(?:{_GAP}|\s(?:{_DOT})\s)(?:{_ONE})\b){{2,}})"
 )
 _IN_RUN = re.compile(rf"\b(?:plus|{_ONE}|{_DOT})\b")
-#: One of these is in every text that the second transducer changes.
-_HINTS = [f"{w} " for w in _DOT.split("|")] + [f"{w}{c}" for w in _DIGITS for c in " -,"]
+_WORDS, _DOTS = tuple(_DIGITS), frozenset(_DOT.split("|"))
 _BRACKETS = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|arroba|{_DOT})\s{{0,3}}[\])}}>]")
 
 
@@ -113,6 +112,15 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
 
 
+def _may_change(low: str) -> bool:
+    """False only if the second transducer surely leaves the text. A run of three has a middle digit between blanks."""
+    words = low.replace("-", " ").replace(",", " ").split()
+    if not _DOTS.isdisjoint(words) or _BRACKETS.search(low):
+        return True
+    spelled = [i for i, w in enumerate(words) if w in _DIGITS]
+    return any(0 < i < len(words) - 1 and words[i - 1].endswith(_WORDS) and words[i + 1].startswith(_WORDS) for i in spelled)
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     """The normalised text and, for each of its characters, where its source begins and ends; None if nothing changes."""
     out: list[str] = []
@@ -125,7 +133,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
         ends.extend(range(a + 1, z + 1))
 
     changed, at = False, 0
-    if not text.isascii():
+    if not text.isascii() and not _CHARS.keys().isdisjoint(set(text)):
         for m in _ODD.finditer(text):
             copy(at, m.start())
             to = _CHARS[m[0]]
@@ -138,7 +146,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
         copy(at, len(text))
         first = "".join(out)
     low = _lower(first)
-    if not (any(h in low for h in _HINTS) or _BRACKETS.search(low)):
+    if not _may_change(low):
         return (first, begins, ends) if changed else None
     src_b, src_e = (begins, ends) if changed else (range(len(text)), range(1, len(text) + 1))
     out, begins, ends, at, again = [], [], [], 0, False
