@@ -99,11 +99,11 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, buckets: in
     ratios = log_ratios(feature_counts(target, buckets), feature_counts(docs, buckets))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    rows = durable(weigh(docs, ratios).withColumn("key", F.col("log_weight") - F.log(-F.log(u))))
+    rows = durable(weigh(docs, ratios).withColumn("key", F.col("log_weight") - F.log(-F.log(u))).withColumn("all", F.lit(0)))
     k = int(np.ceil(share * rows.count()))
     # a whole number that falls as the key grows, at most some 90,000 of them over all doubles that occur
     size = F.floor(F.log1p(F.abs("key")) * 2048)
-    rows = rows.withColumn("bucket", F.when(F.col("key") > 0, -size).otherwise(size)).withColumn("one", F.lit(1)).withColumn("all", F.lit(0)).withColumn("k", F.lit(k))
+    rows = rows.withColumn("bucket", F.when(F.col("key") > 0, -size).otherwise(size)).withColumn("one", F.lit(1)).withColumn("k", F.lit(k))
     picked = take_until(rows, "all", [F.desc("key"), F.col("doc_id").asc_nulls_last()], "bucket", "one", "k")
     return picked.select("doc_id", "n_features", "log_weight", "key", F.col("picked").alias("selected"))
 
