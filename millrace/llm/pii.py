@@ -4,7 +4,8 @@ Base spans are found in the text as it stands. Then two transducers write a norm
 characters, the source characters it stands for: the first maps homoglyphs (compatibility forms, look-alike
 letters, other scripts' digits) and deletes invisible characters; the second turns spelled digits into digits and
 at/dot disguises into ``@`` and ``.``. Identifiers of the normalised text are mapped back to source offsets and added
-where they overlap no base span. A text that neither transducer would change is its own normal form and is not rewritten.
+unless they lie within a base span of their own kind; one that reaches beyond a base span, such as what a disguise left of an
+address, is added beside it. A text that neither transducer would change is its own normal form and is not rewritten.
 
 Spelled digits count in runs of three or more; a bare `` at `` needs a spelled dot in the name after it, bracketed
 ones stand for themselves, so ordinary prose stays as it is.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -182,9 +184,12 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     normal = normalise(text)
     if normal is not None:
         form, begins, ends = normal
+        # spans of a kind do not overlap, so of the base ones only the last that starts no later can hold another
+        starts, stops = [[s for s, k, _ in base if k == n] for n in range(len(KINDS))], [[e for _, k, e in base if k == n] for n in range(len(KINDS))]
         for s, kind, e in base_spans(form):
             a, z = begins[s], max(ends[s:e])
-            if not any(a < f[2] and f[0] < z for f in found):
+            i = bisect_right(starts[kind], a) - 1
+            if i < 0 or stops[kind][i] < z:
                 found.append((a, kind, z, False))
     return sorted(found)
 

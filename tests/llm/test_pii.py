@@ -47,6 +47,27 @@ def test_disguises_map_back():
         assert want in added(text), (text, added(text))
 
 
+def test_disguises_that_leave_a_base_span():
+    """The base span is what an ASCII pattern finds in a part of the disguised address; the whole of it is added."""
+    cases = {
+        "jоhn.doe@example.com": "hn.doe@example.com",
+        "john@example.cоm": "john@example.c",
+        "john@mail.exаmple.com": "john@mail.ex",
+        "jo\u200bhn@example.com": "hn@example.com",
+        "john dot smith@example.com": "smith@example.com",
+        "alice@mail.example dot com": "alice@mail.example",
+    }
+    for whole, part in cases.items():
+        text = f"é to {whole}, or x@y.org"
+        at = text.index(whole)
+        assert [(KINDS[k], text[s:e]) for s, k, e, own in spans(text) if own] == [("email", part), ("email", "x@y.org")]
+        assert [(s, k, e) for s, k, e, own in spans(text) if not own] == [(at, 0, at + len(whole))]
+    # kinds are apart: a part of an address may be an identifier of its own
+    assert added("１92.168.1.7@b.de") == [("email", "１92.168.1.7@b.de"), ("ip", "１92.168.1.7")]
+    assert added("10.0.0.1 dot x@b.de") == [("email", "10.0.0.1 dot x@b.de")]
+    assert added("é a@b.de １ +1 555 123 4567") == []
+
+
 def test_prose_stays():
     for text in ("we met at noon. dot com bubble", "look at one two three", "see it at example.com", "é à ñ ß 1º", "one at a time, two at most", ""):
         assert added(text) == [], text
