@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, language_id, mix, simhash, sp_codec
+from millrace.llm import exact_dedup, language_id, mix, near_copies, sp_codec
 from millrace.llm.rows import row_tag
 from millrace.plans.durable import broadcast_if_small, durable
 
@@ -34,7 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs.select(*COLUMNS))
+    """Near copies are those that share 0.8 of their five-word shingles; op9's fingerprints reach a few of them only."""
+    return near_copies.drop_near_copies(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

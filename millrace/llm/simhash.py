@@ -26,30 +26,37 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.rows import row_tag, staying
+from millrace.llm.rows import row_tag
 from millrace.plans.components import connected_components
 from millrace.plans.durable import broadcast_if_small, durable
 
 BITS = 64
 
 
-def _fingerprint(text: bytes, shingle: int) -> int:
-    words = text.lower().split()  # of bytes: exactly the six ASCII blanks, and A-Z only
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of ``words``, of which there is one at least."""
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter([hash64(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return np.fromiter([hash64(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of ``hashes``."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, n, 4096):  # the bits of so many hashes at once
         part = np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += part.sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _fingerprint(text: bytes, shingle: int) -> int:
+    words = text.lower().split()  # of bytes: exactly the six ASCII blanks, and A-Z only
+    return majority(shingle_hashes(words, shingle)) if words else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``doc_id``, ``tag`` of the row and ``fp`` (the 64 bits as a signed long) of every row."""
 
@@ -140,16 +147,6 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFra
     return rows.join(classes, "fp").select("doc_id", "tag", "fp", "component_id", "component_fp")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each component the row of the smallest id (null last)."""
-    judged = durable(simhash_dedup(docs, radius, shingle))
-    own = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")
-    best = judged.groupBy("component_fp").agg(F.min(own).alias("best"), F.count("*").alias("n"))
-    best = broadcast_if_small(durable(best.filter("n > 1").select("component_fp", "best")), 200_000)
-    judged = judged.join(best, "component_fp", "left").select("doc_id", "tag", (F.col("best").isNull() | own.eqNullSafe(F.col("best"))).alias("stays"))
-    return staying(docs, judged)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
