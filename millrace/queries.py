@@ -320,6 +320,13 @@ def datetime_extraction_documents(spark, sf_dir):
     return found.filter(~F.col("text").rlike("[0-9]{4}")).select("doc_id", F.array_join("dates", "|").alias("dates"))
 
 
+@query()
+def datetime_extraction_all_documents(spark, sf_dir):
+    """The dates of every document. SQL expresses neither the readings of ``dateutil`` nor its refusals; tests hold it against brute force."""
+    found = run_operator("datetime_extraction_mapper", docs(spark, sf_dir), field="text", output_field="dates", drop=["text"])
+    return found.withColumn("dates", F.array_join("dates", "|"))
+
+
 @query("SELECT event_id, floor(epoch(ts))::BIGINT - 28800 AS seconds FROM events")
 def timestamp_mapper(spark, sf_dir):
     written = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("dt"))
