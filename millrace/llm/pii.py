@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, past))
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(g) < 400 and int(g) <= 255 for g in m.groups())]
+            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(n := g.lstrip("0")) <= 3 and int(n or 0) <= 255 for g in m.groups())]
         for m in _CARD.finditer(text):
             digits = _NO_DIGITS.sub("", m[0])
             if 14 <= len(digits) <= 19 and _luhn(digits):

@@ -68,6 +68,12 @@ def test_disguises_that_leave_a_base_span():
     assert added("é a@b.de １ +1 555 123 4567") == []
 
 
+def test_leading_zeros_of_an_ip():
+    long = "0" * 400 + "7"
+    for text, n in ((f"1.2.3.{long}", 1), (f"{long}.{long}.0.{'0' * 5000}", 1), (f"1.2.3.{'0' * 400}256", 0), ("1.2.3.1" + "0" * 5000, 0)):
+        assert [s for s in base_spans(text) if s[1] == 1] == [(0, 1, len(text))] * n
+
+
 def test_prose_stays():
     for text in ("we met at noon. dot com bubble", "look at one two three", "see it at example.com", "é à ñ ß 1º", "one at a time, two at most", ""):
         assert added(text) == [], text
