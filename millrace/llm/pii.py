@@ -2,7 +2,7 @@
 
 Base spans are found in the text as it stands. Then two transducers write a normalised text and, for each of its
 characters, the source characters it stands for: the first maps homoglyphs (compatibility forms, look-alike
-letters, other scripts' digits) and deletes invisible characters; the second turns spelled digits into digits and
+letters, other scripts' digits, dashes and spaces between digits) and deletes invisible characters; the second turns spelled digits into digits and
 at/dot disguises into ``@`` and ``.``. Identifiers of the normalised text are mapped back to source offsets and added
 unless they lie within a base span of their own kind; one that reaches beyond a base span, such as what a disguise left of an
 address, is added beside it. A text that neither transducer would change is its own normal form and is not rewritten.
@@ -42,7 +42,9 @@ zéro un deux trois quatre cinq six sept huit neuf
 cero uno dos tres cuatro cinco seis siete ocho nueve
 """
 #: Cyrillic and Greek letters that look like the Latin one at the same place.
-LOOK_ALIKES = ("АВЕЅІЈКМНОРСТХаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα", "ABESIJKMHOPCTXaesijopcyxdqwABEZHIKMNOPTYXoa")
+LOOK_ALIKES = ("АВЕЅІЈКМНОРСТХаеѕіјорсухԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρικυ", "ABESIJKMHOPCTXaesijopcyxdqwhABEZHIKMNOPTYXoavpiku")
+#: Dashes other than the hyphen-minus: hyphen, non-breaking hyphen, figure dash, en dash, minus. Spaces are all that Unicode calls so.
+DASHES = "\u2010\u2011\u2012\u2013\u2212"
 #: Characters without width.
 INVISIBLE = "­​‌‍⁠﻿"
 
@@ -84,16 +86,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _characters() -> dict[str, str]:
     """What each single character is written as: its ASCII compatibility form, its digit, its look-alike, or nothing."""
     table = dict(zip(*LOOK_ALIKES, strict=True)) | dict.fromkeys(INVISIBLE, "")
-    for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)):
+    table |= dict.fromkeys(DASHES, "-")
+    for code in (*range(0x80, 0xD800), *range(0xF900, 0x20000)):
         c = chr(code)
-        to = str(unicodedata.decimal(c)) if c.isdecimal() else unicodedata.normalize("NFKC", c)
-        if len(to) == 1 and "!" <= to <= "~":
+        to = str(unicodedata.decimal(c)) if c.isdecimal() else " " if unicodedata.category(c) == "Zs" else unicodedata.normalize("NFKC", c)
+        if len(to) == 1 and " " <= to <= "~":
             table.setdefault(c, to)
     return table | {"。": "."}
 
 
 _CHARS = _characters()
-_ODD = re.compile("[" + re.escape("".join(sorted(_CHARS))) + "]")
+_GAPS = "".join(sorted(c for c, to in _CHARS.items() if to == " " or c in DASHES))
+# spaces and dashes count between digits only: in prose an en dash may follow an address
+_ODD = re.compile("[" + re.escape("".join(sorted(_CHARS.keys() - set(_GAPS)))) + rf"]|(?<=[\d)])[{re.escape(_GAPS)}](?=[\d(])")
 _DIGITS = {w: str(i) for line in SPELLED.split("\n") for i, w in enumerate(line.split())}
 _ONE = "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w)))
 _GAP = r"(?:[\x20,]{1,2}|-)"

@@ -68,6 +68,19 @@ def test_disguises_that_leave_a_base_span():
     assert added("é a@b.de １ +1 555 123 4567") == []
 
 
+def test_spaces_dashes_digits_and_letters():
+    for gap in "\u00a0\u2009\u202f\u2010\u2011\u2012\u2013\u2212":
+        card, phone = gap.join(["4111", "1111", "1111", "1111"]), "+1" + gap.join(["", "555", "123", "4567"])
+        assert added(f"x {card} y") == [("card", card)] and added(f"x {phone} y") == [("phone", phone)]
+    adlam = "".join(chr(0x1E950 + int(d)) for d in "4111111111111111")
+    assert added(f"x {adlam} y") == [("card", adlam)]
+    for c in "νρικυһ":
+        assert added(f"jo{c}n@example.com") == [("email", f"jo{c}n@example.com")]
+    assert added("write to a@b.com\u2013soon or a@b.org\u00a0now") == []
+    # a digit of every script, in all planes
+    assert all(normalise(chr(i)) for i in range(0x80, 0x110000) if chr(i).isdecimal())
+
+
 def test_leading_zeros_of_an_ip():
     long = "0" * 400 + "7"
     for text, n in ((f"1.2.3.{long}", 1), (f"{long}.{long}.0.{'0' * 5000}", 1), (f"1.2.3.{'0' * 400}256", 0), ("1.2.3.1" + "0" * 5000, 0)):
