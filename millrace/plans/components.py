@@ -3,7 +3,7 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round is two
 aggregate-and-join steps; the aggregates combine map-side, and the joins are plain
 equi-joins that AQE may split, so a star with very many leaves does not meet in one task.
-Every round's links are written to the shared folder.
+Every round's links are written to the shared folder, and those of the round before removed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.durable import durable
+from millrace.plans.durable import discard, durable
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        links = durable(_small_star(_large_star(links)))
+        last, links = links, durable(_small_star(_large_star(links)))
+        discard(last)
         now = _state(links)
         if now == before:
             break

@@ -2,8 +2,9 @@
 
 ``durable`` writes a DataFrame as Parquet under the folder that the cluster names in
 ``spark.checkpoint.dir`` and reads it back: the lineage is cut, a lost executor costs
-nothing that was written, and every executor sees the files. Where the setting is
-absent (tests, a laptop) a temporary folder is made once for the session.
+nothing that was written, and every executor sees the files. The shuffle files that led
+to it go as soon as it is written; ``discard`` removes the table itself. Where the setting is
+absent a local master gets a temporary folder, made once for the session, and any other is refused.
 """
 
 from __future__ import annotations
@@ -12,9 +13,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Spark's setting by which a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a broadcast side may hold, rows' own bytes.
+BROADCAST_BYTES = 16 << 20
 
 _made: dict[str, str] = {}
 
@@ -24,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="millrace-")
@@ -42,19 +53,53 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder until the program ends."""
+    """``df``, computed once and kept in the shared folder until it is discarded or the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``durable`` made. Nothing that reads them may run afterwards."""
+    for t in tables:
+        _remove(t.sparkSession, t.durable_path)
+
+
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value has."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(col)
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        size = 8 * F.greatest(F.size(col), F.lit(0))
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(F.struct(col)))
+    else:
+        return F.lit(8).cast("long")
+    return 8 + F.coalesce(size, F.lit(0)).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` bytes together, else as it is.
 
-    ``df`` should be a durable or otherwise cheap table: its rows are counted, and the
-    count stops at the bound.
+    ``df`` should be a durable or otherwise cheap table: it is counted, and the count stops at the bound.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = sum((_bytes(f.name, f.dataType) for f in df.schema), F.lit(0).cast("long"))
+    n, held = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= max_rows and (held or 0) <= max_bytes else df
