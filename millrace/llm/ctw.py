@@ -6,11 +6,13 @@ counts is mixed with the product of the nodes below it, so that all depths take
 give them. A text's score is the logarithm of its probability under the trained mixture, its end included;
 ``code_length`` is the same in bits a byte.
 
-How it is done: a pass over the texts cuts them into chunks of some MB, stores each chunk packed, and writes which
-(depth + 1)-grams and words it has. Grams of all chunks are summed, dealt by the two bytes nearest to the coded one, and each
-part computes its subtrees; the nodes of depth 0 and 1, at most 65,536, are joined on the driver. Every chunk then gets
-the entries that its own texts ask for, so no table has to fit one machine, and the shuffles grow as the corpus does. The
-entries that most chunks ask for, ``HOT`` at most, are sent to all workers once; the others are joined.
+How it is done: a pass over the texts cuts them into chunks of some MB, stores each chunk in packs, and writes which
+(depth + 1)-grams and words it has. Grams of all chunks are summed and dealt by the two bytes nearest to the coded one; a task
+reads the grams of one pair after another and computes their subtrees, and a pair of too many grams is dealt by the third byte too. The
+nodes above those subtrees are joined on the driver: at most 65,536 of depth 0 and 1, and those of depth 2 of the pairs that were split,
+which are never more than ``SPLIT_PAIRS``. Every chunk then gets the entries that its own texts ask for, so no table has to fit one machine,
+and the shuffles grow as the corpus does. The entries that most chunks ask for, ``HOT`` at most, are sent to all workers once; the
+others are joined. Texts are worked on in slices, so a very long one needs no more memory than its own bytes.
 
 Texts are lower-cased (A-Z) first. The base score is of words with add-0.1 smoothing, as in ``score_corpus``. Grams are keys by
 themselves; words are known by 63 bits of their XXH3 hash (a chance of 10^-7 that any two of a million distinct words share one).
@@ -22,6 +24,8 @@ training); without training texts every bit has probability 1/2; other columns a
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,42 +35,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.plans.durable import durable
+from millrace.plans.durable import discard, durable
 
 #: Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
-SLICE = 2 << 20
+#: Bytes of text that are worked on at once, and that are packed together.
+SLICE, PACK = 512 << 10, 4 << 20
 #: Entries that may be broadcast: some 4 MB, whatever the corpus.
 HOT = 1 << 18
+#: A pair of nearest bytes is split if it has more grams than the first and than this part of all.
+PAIR_GRAMS, SPLIT_PAIRS = 2_000_000, 1000
+#: Grams that are worked on together, if their pairs are small.
+TOGETHER = 500_000
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each byte and end of the texts, coded byte lowest, and the number of its text."""
-    pad = bytes([BEFORE]) * depth
-    data = np.frombuffer(b"".join([pad + t + b"\xff" for t in texts]), np.uint8)
+def slices(texts: Iterable[bytes], depth: int, size: int = SLICE) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Lists of about ``size`` bytes of (number of the text, the ``depth`` bytes before, bytes to code); long texts are cut, each has its end."""
+    held, n, pad = [], 0, bytes([BEFORE]) * depth
+    for i, t in enumerate(texts):
+        coded, at, before = t + b"\xff", 0, pad
+        while at < len(coded):
+            part = coded[at : at + size - n].lower()
+            held.append((i, before, part))
+            at, n, before = at + len(part), n + len(part), (before + part)[-depth:]
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def grams(parts: list[tuple[int, bytes, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each byte to code, coded byte lowest, and the number of its text."""
+    data = np.frombuffer(b"".join([before + part for _, before, part in parts]), np.uint8)
+    sizes = np.fromiter((len(part) for *_, part in parts), np.int64, len(parts))
     keys = np.zeros(len(data) - depth, np.int64)
     for back in range(depth, -1, -1):
         keys <<= 8
         keys |= data[depth - back : len(data) - back]
-    own = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + 1 + depth)[depth:]
-    real = data[depth:] != BEFORE
-    return keys[real], own[real]
-
-
-def _runs(texts: list[bytes], size: int = SLICE):
-    """Ranges of texts of about ``size`` bytes."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    real = np.ones(len(data), bool)
+    starts = np.cumsum(sizes + depth) - sizes - depth
+    real[(starts[:, None] + np.arange(depth)).ravel()] = False
+    return keys[real[depth:]], np.repeat(np.fromiter((i for i, *_ in parts), np.int64, len(parts)), sizes)
 
 
 def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,25 +89,47 @@ def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, n, len(found)).astype(np.int64)
 
 
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each word, which is negative, and the number of its text."""
-    words = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
-    return (hashes | np.uint64(1 << 63)).view(np.int64), np.repeat(np.arange(len(texts)), sizes)
+def word_keys(texts: Iterable[bytes], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The key of each word, which is negative, and the number of its text, for about ``size`` bytes at a time."""
+    hashes, own, held = [], [], 0
 
+    def out():
+        return (np.array(hashes, np.uint64) | np.uint64(1 << 63)).view(np.int64), np.array(own, np.int64)
 
-def _entries(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            gap = _BLANK.search(t, at + size)
+            end = gap.start() if gap else len(t)
+            words = t[at:end].lower().split()
+            hashes += map(xxhash.xxh3_64_intdigest, words)
+            own += [i] * len(words)
+            held, at = held + end - at, end
+            if held >= size:
+                yield out()
+                hashes, own, held = [], [], 0
+    if hashes:
+        yield out()
+
+
+def _texts(table: pa.Table) -> Iterator[bytes]:
+    return (t.as_buffer().to_pybytes() for t in table.column(2))
+
+
+def _entries(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of grams and words with their counts in training texts (0 where only held-out ones have them)."""
-    keys, counts = [], []
-    for a, z in _runs(texts):
-        for k, own in (grams(texts[a:z], depth), word_keys(texts[a:z])):
+    train = ~np.asarray(table.column(1))
+    keys, counts, new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    found = (grams(parts, depth) for parts in slices(_texts(table), depth))
+    for source in (found, word_keys(_texts(table))):
+        for k, own in source:
             codes, unique = pd.factorize(k)
             keys.append(unique)
-            counts.append(np.bincount(codes, train[a:z][own], len(unique)))
-        if len(keys) >= 12:
-            k, c = _sum_by(np.concatenate(keys), np.concatenate(counts))
-            keys, counts = [k], [c]
+            counts.append(np.bincount(codes, train[own], len(unique)))
+            new += len(unique)
+            if new > max(500_000, len(keys[0])):
+                k, c = _sum_by(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, new = [k], [c], 0
     return _sum_by(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -105,14 +142,17 @@ def _chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
     def emit(held):
         table = pa.Table.from_batches(held)
         name = int.from_bytes(os.urandom(8)) >> 1
-        keys, counts = _entries([t.as_buffer().to_pybytes().lower() for t in table.column(2)], ~np.asarray(table.column(1)), depth)
+        keys, counts = _entries(table, depth)
         for at in range(0, len(keys), 100_000):
             k = keys[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), name)), pa.array(k), pa.array(counts[at : at + 100_000]), pa.nulls(len(k), pa.binary())], schema=_CHUNK)
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        yield pa.RecordBatch.from_pydict({"chunk": [name], "key": [None], "n": [None], "pack": [out.getvalue().to_pybytes()]}, schema=_CHUNK)
+        ends = np.cumsum(pa.compute.binary_length(table.column(2)).to_numpy()) // PACK
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), table.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.slice(a, z - a).combine_chunks())
+            yield pa.RecordBatch.from_pydict({"chunk": [name], "key": [None], "n": [None], "pack": [out.getvalue().to_pybytes()]}, schema=_CHUNK)
 
     def run(batches):
         held, size = [], 0
@@ -180,52 +220,88 @@ def _subtrees(keys: np.ndarray, n: np.ndarray, depth: int, top: int = 2):
         yield prefix, bit, lower, levels[-1][3], levels[-1][4], weighted, predicted
 
 
-def _upper(roots: pd.DataFrame):
-    """Counts and shares of the nodes of depth 1 and 0, as arrays by nearest byte and bits so far."""
-    zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
+def _upper(roots: pd.DataFrame, split: np.ndarray):
+    """Counts and shares of the nodes of depth 0, 1 and, of the ``split`` pairs, 2, as arrays by nearest bytes and bits so far.
+
+    ``roots``: sums over the nodes below, by ``near``, the nearest byte, or 256 + the number of the split pair.
+    """
+    zeros, ones, below = (np.zeros((256 + len(split), 256)) for _ in range(3))
     at = roots["near"].to_numpy(np.int64), roots["prefix"].to_numpy(np.int64)
     for to, name in ((zeros, "zeros"), (ones, "ones"), (below, "weighted")):
         to[at] = roots[name]
-    weighted, share = _mixed(log_kt(zeros, ones), below)
+    weighted2, share2 = _mixed(log_kt(zeros[256:], ones[256:]), below[256:])
+    deep = zeros[256:], ones[256:], share2
+    for to, more in ((zeros, zeros[256:]), (ones, ones[256:]), (below, np.where(zeros[256:] + ones[256:] > 0, weighted2, 0))):
+        np.add.at(to, split & 0xFF, more)
+    zeros, ones = zeros[:256], ones[:256]
+    weighted, share = _mixed(log_kt(zeros, ones), below[:256])
     zeros0, ones0 = zeros.sum(0), ones.sum(0)
-    return (zeros, ones, share), (zeros0, ones0, _mixed(log_kt(zeros0, ones0), weighted.sum(0))[1])
+    return (zeros0, ones0, _mixed(log_kt(zeros0, ones0), weighted.sum(0))[1]), (zeros, ones, share), deep
 
 
-def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
+def gram_scores(counts: DataFrame, depth: int, most: int = PAIR_GRAMS) -> DataFrame:
     """``gram, logp`` (base 10) of the last byte given those before it, from ``gram, n`` of distinct grams."""
-    dealt = counts.repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)))
-
-    def gather(batches):
-        table = pa.Table.from_batches(list(batches), pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
-        keys, n = np.asarray(table.column("gram")), np.asarray(table.column("n"))
-        return keys, n
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    sizes = dict(counts.groupBy(pair.alias("pair")).count().collect()) if depth > 2 else {}  # of 65,536 pairs at most
+    split = np.array(sorted(p for p, n in sizes.items() if n > most and n * SPLIT_PAIRS > sum(sizes.values())), np.int64)
+    number = np.full(1 << 16, -1)
+    number[split] = np.arange(len(split))
+    third = F.shiftright("gram", 24).bitwiseAND(F.lit(0xFF))
+    group = pair * 512 + (F.when(pair.isin(split.tolist()), third + 1).otherwise(0) if len(split) else 0)
+    dealt = counts.select("gram", "n", group.alias("group")).repartition("group").sortWithinPartitions("group")
+
+    def gathered(batches):
+        """Whole groups, some together: their grams and counts, those of split pairs by themselves."""
+        held, n = [], 0
+
+        def out(parts):
+            keys, counts, groups = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            deep = groups & 511 > 0
+            return [(keys[m], counts[m], top) for m, top in ((~deep, 2), (deep, 3)) if m.any()]
+
+        for b in batches:
+            keys, counts, groups = (np.asarray(c) for c in b.columns)
+            if not len(keys):
+                continue
+            if n >= TOGETHER:
+                # what is held is complete but for the last group, which may go on here
+                cut = int(np.searchsorted(groups, held[-1][2][-1], "right")) if groups[0] == held[-1][2][-1] else 0
+                if cut < len(keys):
+                    yield from out([*held, (keys[:cut], counts[:cut], groups[:cut])])
+                    held, n, keys, counts, groups = [], 0, keys[cut:], counts[cut:], groups[cut:]
+            held.append((keys, counts, groups))
+            n += len(keys)
+        if held:
+            yield from out(held)
 
     def roots(batches):
-        keys, n = gather(batches)
-        if not len(keys):
-            return
-        for _, _, nodes, zeros, ones, weighted, _ in _subtrees(keys, n, depth):
-            up, at = np.unique((nodes >> 8 & 0xFF) << 8 | nodes & 0xFF, return_inverse=True)
-            sums = [np.bincount(at, x, len(up)) for x in (zeros, ones, weighted)]
-            yield pa.RecordBatch.from_arrays([pa.array(up >> 8), pa.array(up & 0xFF), *map(pa.array, sums)], names=["near", "prefix", "zeros", "ones", "weighted"])
+        for keys, n, top in gathered(batches):
+            for _, _, nodes, zeros, ones, weighted, _ in _subtrees(keys, n, depth, top):
+                up, at = np.unique((nodes >> 8 & (1 << 8 * (top - 1)) - 1) << 8 | nodes & 0xFF, return_inverse=True)
+                sums = [np.bincount(at, x, len(up)) for x in (zeros, ones, weighted)]
+                near = up >> 8 if top == 2 else 256 + number[up >> 8]
+                yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(up & 0xFF), *map(pa.array, sums)], names=["near", "prefix", "zeros", "ones", "weighted"])
 
     found = dealt.mapInArrow(roots, "near long, prefix long, zeros double, ones double, weighted double")
-    one, zero = _upper(found.groupBy("near", "prefix").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toPandas())
-    sent = counts.sparkSession.sparkContext.broadcast((one, zero))
+    upper = _upper(found.groupBy("near", "prefix").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toPandas(), split)
+    sent = counts.sparkSession.sparkContext.broadcast(upper)
+
+    def mixed(p, bit, prefix, nodes, near=None):
+        """Predictions taken one node up, whose arrays are ``nodes``."""
+        at = prefix if near is None else (near, prefix)
+        zeros, ones, share = (x[at] for x in nodes)
+        return share * (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1) + (1 - share) * p
 
     def score(batches):
-        keys, n = gather(batches)
-        if not len(keys):
-            return
-        (z1, o1, s1), (z0, o0, s0) = sent.value
-        near, logp = keys >> 8 & 0xFF, np.zeros(len(keys))
-        for prefix, bit, *_, p in _subtrees(keys, n, depth):
-            z, o, s = z1[near, prefix], o1[near, prefix], s1[near, prefix]
-            p = s * (np.where(bit, o, z) + 0.5) / (z + o + 1) + (1 - s) * p
-            z, o, s = z0[prefix], o0[prefix], s0[prefix]
-            logp += np.log10(s * (np.where(bit, o, z) + 0.5) / (z + o + 1) + (1 - s) * p)
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(logp[at : at + 100_000])], names=["gram", "logp"])
+        root, first, second = sent.value
+        for keys, n, top in gathered(batches):
+            logp = np.zeros(len(keys))
+            for prefix, bit, *_, p in _subtrees(keys, n, depth, top):
+                if top == 3:
+                    p = mixed(p, bit, prefix, second, number[keys >> 8 & 0xFFFF])
+                logp += np.log10(mixed(mixed(p, bit, prefix, first, keys >> 8 & 0xFF), bit, prefix, root))
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(logp[at : at + 100_000])], names=["gram", "logp"])
 
     return dealt.mapInArrow(score, "gram long, logp double")
 
@@ -242,7 +318,7 @@ def _often(sums: DataFrame) -> int:
     return least
 
 
-def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 24 << 20, pair_grams: int = PAIR_GRAMS) -> DataFrame:
     """Scores of every row of ``docs``, learnt from those that are not held out.
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_length``. A row is held out if its id's
@@ -253,7 +329,7 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -
     chunks = _chunks(docs, depth, chunk_bytes)
     asked = chunks.filter("key IS NOT NULL").select("chunk", "key")
     sums = durable(chunks.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("asked")))
-    model = gram_scores(sums.filter("key >= 0").select(F.col("key").alias("gram"), "n"), depth)
+    model = gram_scores(sums.filter("key >= 0").select(F.col("key").alias("gram"), "n"), depth, pair_grams)
     answers = model.select(F.col("gram").alias("key"), F.col("logp").alias("value")).unionByName(sums.filter("key < 0").select("key", F.col("n").cast("double").alias("value")))
     answers = durable(answers)
     often = sums.filter(F.col("asked") >= _often(sums)).select("key")
@@ -269,19 +345,20 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -
         values = np.concatenate([sent.value[1], np.asarray(entries.column("value"))])
         index = pd.Index(keys)
         tables = []
-        for raw in packed.column("pack").to_pylist():
-            table = pa.ipc.open_stream(raw).read_all()
-            texts = [t.as_buffer().to_pybytes().lower() for t in table.column(2)]
-            n_tokens, n_known, base, score = (np.zeros(len(texts), kind) for kind in (np.int64, np.int64, np.float64, np.float64))
-            for a, z in _runs(texts):
-                k, own = grams(texts[a:z], depth)
-                score[a:z] = np.bincount(own, values[index.get_indexer(k)], z - a)
-                k, own = word_keys(texts[a:z])
+        for raw in packed.column("pack"):
+            table = pa.ipc.open_stream(raw.as_buffer()).read_all()
+            n_rows = table.num_rows
+            n_tokens, n_known, base, score = (np.zeros(n_rows, kind) for kind in (np.int64, np.int64, np.float64, np.float64))
+            for parts in slices(_texts(table), depth):
+                k, own = grams(parts, depth)
+                score += np.bincount(own, values[index.get_indexer(k)], n_rows)
+            for k, own in word_keys(_texts(table)):
                 counts = values[index.get_indexer(k)]
-                n_tokens[a:z], n_known[a:z] = np.bincount(own, minlength=z - a), np.bincount(own, counts > 0, z - a)
-                base[a:z] = np.bincount(own, np.log10(counts + 0.1), z - a)
-            size = np.fromiter(map(len, texts), np.int64, len(texts))
-            columns = [table.column(0), table.column(1), *map(pa.array, (n_tokens, n_known, base, score, size))]
+                n_tokens += np.bincount(own, minlength=n_rows)
+                n_known += np.bincount(own, counts > 0, n_rows).astype(np.int64)
+                base += np.bincount(own, np.log10(counts + 0.1), n_rows)
+            size = pa.compute.binary_length(table.column(2))
+            columns = [table.column(0), table.column(1), *map(pa.array, (n_tokens, n_known, base, score)), size]
             tables.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
@@ -290,6 +367,7 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 32 << 20) -
     trained = F.when(~F.col("held_out"), 1).otherwise(0)
     n_words, n_ends = (x or 0 for x in rows.agg(F.sum(F.col("n_tokens") * trained), F.sum(trained)).first())
     v = sums.filter("key < 0 AND n > 0").count() + (n_ends > 0)
+    discard(chunks, sums, answers)
     n = n_words + n_ends
     norm = float(np.log10(n + 0.1 * (v + 1)))
     tokens = F.col("n_tokens") + 1

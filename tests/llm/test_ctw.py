@@ -3,7 +3,10 @@ import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
-from millrace.llm.ctw import query, score_corpus
+import numpy as np
+import xxhash
+
+from millrace.llm.ctw import grams, query, score_corpus, slices, word_keys
 
 
 def stream(text, depth):
@@ -76,8 +79,8 @@ ROWS = [(i, f"The cat sat on mat {i % 3}. Ünïcode hat") for i in range(12)] +
 
 def test_matches_brute_force(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 as gram", "2 as chunk", "3 as n")
-    for depth, size in ((2, 1 << 20), (4, 100)):
-        check(ROWS, score_corpus(df.repartition(3), depth, size).collect(), depth)
+    for depth, size, pair in ((2, 1 << 20, 10), (4, 100, 1 << 20), (3, 300, 3), (5, 1 << 20, 0)):
+        check(ROWS, score_corpus(df.repartition(3), depth, size, pair).collect(), depth)
     assert score_corpus(df.limit(0)).collect() == []
     out = [(i, t) for i, t in ROWS if held(i)]
     assert out
@@ -91,3 +94,27 @@ def test_query(spark):
     for r, (a, b, c) in zip(rows, base, strict=True):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), a, b, n) and math.isclose(r.base_score, c, rel_tol=1e-9)
         assert 0 < r.code_length < 8 and math.isfinite(r.score)
+
+
+def test_slices_of_long_texts():
+    """Texts are cut anywhere for grams, at blanks for words; what comes out is that of the whole."""
+    texts = [b"One two  three", b"", b"x" * 50 + b" Y z" + b" " * 30 + b"end", b"\n\t ", "é à".encode() * 9]
+    for size in (1, 3, 7, 1000):
+        keys, own = (np.concatenate(x) for x in zip(*(grams(p, 3) for p in slices(texts, 3, size)), strict=True))
+        want = []
+        for i, t in enumerate(texts):
+            data = b"\xfe" * 3 + t.lower() + b"\xff"
+            want += [(i, int.from_bytes(data[j - 3 : j + 1])) for j in range(3, len(data))]
+        assert list(zip(own.tolist(), keys.tolist(), strict=True)) == want
+        keys, own = (np.concatenate(x) for x in zip(*word_keys(texts, size), strict=True))
+        want = [(i, xxhash.xxh3_64_intdigest(w) | 1 << 63) for i, t in enumerate(texts) for w in t.lower().split()]
+        assert list(zip(own.tolist(), (keys.view(np.uint64)).tolist(), strict=True)) == want
+
+
+def test_long_text(spark):
+    rows = [(i, t) for i, t in enumerate(["Some words here and there, " * 30_000, "some other words", "x" * 900_000, None])]
+    got = score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert [r.n_tokens for r in sorted(got, key=lambda r: r.doc_id)] == [150_001, 4, 2, 1]
+    n, base = brute_base([t for i, t in rows if not held(i)], [t for _, t in rows])
+    for r in got:
+        assert math.isclose(r.base_score, base[r.doc_id][2], rel_tol=1e-9) and r.train_tokens == n and (r.doc_id == 3 or 0 < r.code_length < 9)
