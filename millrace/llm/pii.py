@@ -10,6 +10,8 @@ address, is added beside it. A text that neither transducer would change is its
 Spelled digits count in runs of three or more; a bare `` at `` needs a spelled dot in the name after it, bracketed
 ones stand for themselves, so ordinary prose stays as it is.
 
+Every pattern is read in time linear in the text, whatever it holds.
+
 Defined results: a null or empty text has no spans; null ids and repeated rows are rows as others; other columns are
 ignored; an empty table gives an empty one. Offsets are code points, ends exclusive.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -57,6 +59,22 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _ips(text: str) -> list[tuple[int, int, int]]:
+    """Four parts at a time of each longest chain of numbers and dots: a match that begins within a number begins at its start too."""
+    out = []
+    for m in _CHAIN.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in four):
+                out.append((at, 1, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)`` in order: leftmost, non-overlapping for each kind."""
     out = []
@@ -73,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, past))
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(n := g.lstrip("0")) <= 3 and int(n or 0) <= 255 for g in m.groups())]
+            out += _ips(text)
         for m in _CARD.finditer(text):
             digits = _NO_DIGITS.sub("", m[0])
             if 14 <= len(digits) <= 19 and _luhn(digits):

@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millrace.llm import pii
 from millrace.llm.pii import KINDS, base_spans, find_pii, normalise, query, spans
 
 
@@ -111,3 +114,72 @@ def test_query_matches_brute_force(spark):
         r = got[d.doc_id]
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in KINDS] == [sum(x[1] == i for x in base) for i in range(4)]
+
+
+def test_long_texts_take_linear_time():
+    """A million characters of what a pattern could stumble over."""
+    n = 1_000_000
+    for text in ("1" * n, "1." * (n // 2), "1.2.3." * (n // 6), "1 " * (n // 2), "a@" * (n // 2), "a." * (n // 2) + "@", "+1" + "(" * n, "+1 " * (n // 3), "x@" + "y-" * (n // 2), "one two " * (n // 8), "dot " * (n // 4), "[at] " * (n // 5), "a [at] b [dot] c " * (n // 17), "\u0430" * n):
+        began = time.process_time()
+        found = spans(text)
+        assert time.process_time() - began < 20, text[:20]
+        if text.startswith("1.2.3."):
+            assert len(found) == len(text) // 8
+
+
+FRAGMENTS = ["one", "two", "null", "zwei", "dos", "dot", "punkt", "at", "arroba", "plus", "[at]", "(dot)", "< at >", "[", ")", "-", ",", " ", "  ", "\n", "a", "B7", "é", "İ", "\u0430", "４", "@", ".", "com", "1", "x"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(FRAGMENTS), max_size=25))
+def test_screen_changes_nothing(parts):
+    """The second transducer finds the same whether or not the screen lets it skip a text."""
+    for text in ("".join(parts), " ".join(parts)):
+        screened, held = spans(text), pii._may_change
+        pii._may_change = lambda low: True
+        try:
+            assert spans(text) == screened
+        finally:
+            pii._may_change = held
+
+
+def disguised(rng):
+    """An identifier, its kind, and a disguise of it, by rules written here."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("bdfghklmnqrstvwz") for _ in range(rng.randint(2, 7)))
+    kind = rng.choice(KINDS)
+    if kind == "email":
+        plain = f"{word()}.{word()}@{word()}.{word()}"
+        how = rng.randrange(4)
+        if how == 0:
+            return kind, plain.replace("@", rng.choice([" [at] ", "(at)", " < arroba > "])).replace(".", rng.choice([" [dot] ", "(punkt)", "{point}"]))
+        if how == 1:
+            return kind, plain.replace("@", " at ").replace(".", " dot ")
+    elif kind == "ip":
+        plain, how = ".".join(str(rng.randrange(256)) for _ in range(4)), rng.choice([2, 3, 4])
+    elif kind == "phone":
+        plain, how = f"+{digits(3)} {digits(4)} {digits(5)}", rng.choice([2, 3, 4])
+    else:
+        body = "4" + digits(14)
+        plain = next(body + d for d in "0123456789" if pii._luhn(body + d))
+        how = rng.choice([2, 3, 4])
+    if how == 2:  # full width
+        return kind, "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in plain)
+    if how == 3:  # characters without width
+        return kind, plain[0] + "".join(rng.choice(["", "\u200b", "\u2060"]) + c for c in plain[1:-1]) + "\u200b" + plain[-1]
+    names = rng.choice(["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve"]).split()
+    spelled = [names[int(c)] if c.isdigit() else {"+": "plus", ".": "dot"}.get(c) for c in plain]
+    return kind, " ".join(w for w in spelled if w)
+
+
+def test_planted_disguises_are_found_at_their_places():
+    rng, prose = random.Random(8), ["We met near the river.", "Prices rose; nobody knew why!", "Der Weg ist lang, sagte sie.", "x = y"]
+    for _ in range(1500):
+        text, want = rng.choice(prose), []
+        for _ in range(rng.randint(1, 3)):
+            kind, shown = disguised(rng)
+            text += "; "
+            want.append((len(text), kind, len(text) + len(shown)))
+            text += shown + " / " + rng.choice(prose)
+        found = {(s, KINDS[k], e) for s, k, e, own in spans(text)}
+        assert set(want) <= found, (text, want, found)
