@@ -41,10 +41,10 @@ from millrace.plans.durable import discard, durable
 BEFORE, END = 0xFE, 0xFF
 #: Bytes of text that are worked on at once, and that are packed together.
 SLICE, PACK = 512 << 10, 4 << 20
-#: Entries that may be broadcast: some 4 MB, whatever the corpus.
-HOT = 1 << 18
+#: Entries that may be broadcast: some 16 MB, whatever the corpus.
+HOT = 1 << 20
 #: A pair of nearest bytes is split if it has more grams than the first and than this part of all.
-PAIR_GRAMS, SPLIT_PAIRS = 2_000_000, 1000
+PAIR_GRAMS, SPLIT_PAIRS = 10_000, 1000
 #: Grams that are worked on together, if their pairs are small.
 TOGETHER = 500_000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -306,16 +306,21 @@ def gram_scores(counts: DataFrame, depth: int, most: int = PAIR_GRAMS) -> DataFr
     return dealt.mapInArrow(score, "gram long, logp double")
 
 
-def _often(sums: DataFrame) -> int:
-    """The least number of chunks, two at least, such that no more than ``HOT`` keys are asked for by so many."""
-    steps = sums.filter("asked > 1").groupBy(F.floor(F.log2("asked") * 8).alias("step")).agg(F.count("*").alias("keys"), F.min("asked").alias("least"))
-    held, least = 0, 2**62
-    for r in sorted(steps.collect(), reverse=True):  # some 500 steps at most
-        held += r["keys"]
-        if held > HOT:
+def _often(sums: DataFrame) -> Column:
+    """Which of ``sums(key, asked)`` are asked for by most chunks: about ``HOT`` keys, all of which two chunks at least ask for.
+
+    Keys are counted by steps of ``asked``; of the step that doesn't fit as a whole, a part by the keys' hash.
+    """
+    step = F.floor(F.log2("asked") * 8)
+    counts = sums.filter("asked > 1").groupBy(step.alias("step")).agg(F.count("*").alias("keys"))
+    room, least, at, part = HOT, 1 << 40, -1, 0.0
+    for at, keys in sorted(counts.collect(), reverse=True):  # some 500 steps at most
+        if keys > room:
+            part = room / keys
             break
-        least = r["least"]
-    return least
+        room, least = room - keys, at
+    some = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(part * (1 << 20))
+    return (F.col("asked") > 1) & ((step >= least) | (step == at) & some)
 
 
 def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 24 << 20, pair_grams: int = PAIR_GRAMS) -> DataFrame:
@@ -332,9 +337,9 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 24 << 20, p
     model = gram_scores(sums.filter("key >= 0").select(F.col("key").alias("gram"), "n"), depth, pair_grams)
     answers = model.select(F.col("gram").alias("key"), F.col("logp").alias("value")).unionByName(sums.filter("key < 0").select("key", F.col("n").cast("double").alias("value")))
     answers = durable(answers)
-    often = sums.filter(F.col("asked") >= _often(sums)).select("key")
-    hot = answers.join(often, "key").toPandas()
-    sent = docs.sparkSession.sparkContext.broadcast((hot["key"].to_numpy(np.int64), hot["value"].to_numpy(np.float64)))
+    often = durable(sums.filter(_often(sums)).select("key"))
+    hot = answers.join(F.broadcast(often), "key").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((hot.column("key").to_numpy(), hot.column("value").to_numpy()))
     rest = asked.join(F.broadcast(often), "key", "left_anti").join(answers, "key").select("chunk", "key", "value")
     packs = chunks.filter("pack IS NOT NULL").select(F.col("chunk").alias("whole"), "pack")
     kind = docs.schema["doc_id"].dataType
@@ -363,11 +368,13 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 24 << 20, p
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     spark_schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+    v = sums.filter("key < 0 AND n > 0").count()
+    discard(sums)
     rows = durable(packs.groupBy("whole").cogroup(rest.groupBy("chunk")).applyInArrow(run, spark_schema))
     trained = F.when(~F.col("held_out"), 1).otherwise(0)
     n_words, n_ends = (x or 0 for x in rows.agg(F.sum(F.col("n_tokens") * trained), F.sum(trained)).first())
-    v = sums.filter("key < 0 AND n > 0").count() + (n_ends > 0)
-    discard(chunks, sums, answers)
+    discard(chunks, answers, often)
+    v += n_ends > 0
     n = n_words + n_ends
     norm = float(np.log10(n + 0.1 * (v + 1)))
     tokens = F.col("n_tokens") + 1
