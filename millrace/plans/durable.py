@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Spark's setting by which a query's shuffle files are removed when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that a task gathers before it writes them; Spark's own 128 MB would be a good part of a small executor's heap.
+ROW_GROUP = 16 << 20
 #: What a broadcast side may hold, rows' own bytes.
 BROADCAST_BYTES = 16 << 20
 
@@ -68,7 +70,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
     with _setting(spark, CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path

@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import millrace.operators  # noqa: F401
@@ -168,3 +169,38 @@ def test_row_local_operators_stream(spark, tmp_path):
     assert sorted((r.t, r.n) for r in spark.table("millrace_s").collect()) == [("a", 1), ("bb", 2)]
     with pytest.raises(ValueError):
         over_stream(stream, [{"op_name": "exact_deduplicator", "field": "t"}])
+
+
+def test_durable_tables(spark, monkeypatch):
+    import millrace.plans.durable as d
+
+    kept = d.durable(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count())
+    assert kept.count() == 3 and spark.conf.get(d.CLEANUP) == "false"
+    path = kept.durable_path
+    d.discard(kept)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+            applicationId = "a"
+            getConf = staticmethod(lambda: Elsewhere.conf)
+
+    with pytest.raises(ValueError):
+        d.shared_dir(Elsewhere)
+    Elsewhere.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        d.shared_dir(Elsewhere)
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from millrace.plans.durable import broadcast_if_small
+
+    hinted = lambda df, *bounds: "ResolvedHint" in broadcast_if_small(df, *bounds)._jdf.queryExecution().analyzed().toString()
+    ids, texts = spark.range(1000), spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t"), F.array(F.lit("a")).alias("a"))
+    assert hinted(ids, 1000) and not hinted(ids, 999) and not hinted(ids, 1000, 7999)
+    assert hinted(texts, 1000, 1_200_000) and not hinted(texts, 1000, 1_000_000) and hinted(ids.limit(0), 1)
