@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import posixpath
 import re
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,34 +51,60 @@ def url_component_extraction_mapper(df: DataFrame, field: str, required_componen
     return df.select("*", *(F.when(url.isNotNull(), made[c]).alias(c) for c in COMPONENTS if c in wanted))
 
 
-def normalise_url(url: str | None) -> str | None:
-    """Scheme and host in lower case, default ports, user and fragment dropped, path and parameters in normal form."""
-    if not url:
-        return url
-    try:
-        parts = urlsplit(url.strip())
-        host, port = parts.hostname or "", parts.port
-    except ValueError:
-        return url
-    scheme = parts.scheme.lower()
-    if port is not None and PORTS.get(scheme) != str(port) or scheme not in ("http", "https") and port is not None:
-        host = f"{host}:{port}"
-    path = posixpath.normpath(parts.path) if parts.path else "/"
-    if parts.path.endswith("/") and not path.endswith("/"):
-        path += "/"
-    pairs = [kv for kv in parse_qsl(parts.query) if kv[1]]
-    return urlunsplit((scheme, host, path, urlencode(sorted(pairs)), ""))
+def _plain_path(path: Column) -> Column:
+    """Without empty and dot segments; a slash at either end stays."""
+    absolute = F.startswith(path, F.lit("/"))
+    step = lambda done, part: (
+        F.when(part.isin("", "."), done)
+        .when(part != "..", F.array_append(done, part))
+        .when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
+        .when(absolute, done)
+        .otherwise(F.array_append(done, part))
+    )
+    joined = F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+    return F.when(absolute, F.concat(F.lit("/"), joined, F.when(F.endswith(path, F.lit("/")) & (joined != ""), "/").otherwise(""))).otherwise(
+        F.concat(F.when(joined == "", ".").otherwise(joined), F.when(F.endswith(path, F.lit("/")), "/").otherwise(""))
+    )
+
+
+def _plain_query(query: Column) -> Column:
+    """Pairs with a value, by name and value, written anew: all but letters, digits and ``-._~`` as UTF-8 bytes, a space as ``+``."""
+    decoded = lambda c: F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    coded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    given = F.filter(F.split(query, "&", -1), lambda kv: kv.rlike("(?s)^[^=]*=."))
+    pairs = F.transform(given, lambda kv: F.struct(decoded(F.regexp_extract(kv, "(?s)^([^=]*)=", 1)).alias("k"), decoded(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda kv: F.concat(coded(kv["k"]), F.lit("="), coded(kv["v"]))), "&")
 
 
 @operator("url_normalization_mapper", "map")
 def url_normalization_mapper(df: DataFrame, col: Column) -> Column:
-    """URLs in normal form; null and empty ones stay."""
-
-    @F.pandas_udf("string")
-    def normal(urls: pd.Series) -> pd.Series:
-        return urls.map(normalise_url)
+    """URLs in normal form, all in built-in expressions; null and empty ones stay, and those whose port is no number.
 
-    return normal(col)
+    Scheme and host in lower case; user, fragment and the scheme's usual port (80 or 443) dropped; dot segments of the path resolved, an empty
+    path becomes ``/``; parameters without a value dropped, the others sorted and encoded anew.
+    """
+    url = F.regexp_replace(F.regexp_replace(col, r"^[\s\x00-\x20]+|\s+$", ""), r"[\t\r\n]", "")
+    form = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    part = lambda i: F.regexp_extract(url, form, i)
+    scheme, server = F.lower(part(1)), F.regexp_replace(part(2), "(?s)^.*@", "")
+    host = F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:]*)", 1))
+    own_port = F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    number = own_port.try_cast("int")
+    usual = F.when(scheme == "http", 80).when(scheme == "https", 443).otherwise(-1)
+    port = F.when((own_port == "") | (number == usual), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+    # what follows a semicolon in the last segment is no part of the path
+    whole, params = F.regexp_extract(part(3), "(?s)^((?:.*/)?[^/;]*)", 1), F.regexp_extract(part(3), "(?s)^(?:.*/)?[^/;]*;([^/]*)$", 1)
+    path = F.when(whole == "", "/").otherwise(_plain_path(whole))
+    query = _plain_query(part(4))
+    has_server = url.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    between = F.when(has_server & ~F.startswith(path, F.lit("/")), "/").otherwise("")
+    made = F.concat(
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
+        F.when(has_server, F.concat(F.lit("//"), host, port)).otherwise(""),
+        between, path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+    )
+    fine = (own_port == "") | own_port.rlike("^[0-9]{1,9}$") & (number <= 65535)
+    return F.when((F.length(col) > 0) & fine, made).otherwise(col)
 
 
 @operator("html_content_extract_mapper", "map")
