@@ -9,6 +9,7 @@ import os
 import re
 import time
 import urllib.request
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 from typing import Any
@@ -75,16 +76,22 @@ def language_identification_mapper(df: DataFrame, field: str, output_field: str,
 
 
 @lru_cache(2)
-def _classifier(path: str):
-    """A fastText ``.bin`` where that library is there, else a JSON model: ``{"ngrams": [low, high], "bias": {label: b}, "weights": {label: {gram: w}}}``."""
-    if path.endswith((".bin", ".ftz")):
-        try:
-            import fasttext
-        except ImportError as e:
-            raise ValueError("fastText models need the fasttext library; give a JSON model instead") from e
-        model = fasttext.load_model(path)
-        return lambda t: (lambda r: (r[0][0], float(r[1][0])))(model.predict(t))
-    spec = json.loads(read_text(path))
+def _fasttext(path: str):
+    try:
+        import fasttext
+    except ImportError as e:
+        raise ValueError("fastText models need the fasttext library; give a JSON model instead") from e
+    from pyspark import SparkFiles
+
+    here = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+    model = fasttext.load_model(here)
+    return lambda t: (lambda r: (r[0][0], float(r[1][0])))(model.predict(t))
+
+
+@lru_cache(2)
+def _classifier(model: str):
+    """``model``: ``{"ngrams": [low, high], "bias": {label: b}, "weights": {label: {gram: w}}}``."""
+    spec = json.loads(model)
     low, high = spec.get("ngrams", [1, 3])
 
     def predict(t):
@@ -99,12 +106,19 @@ def _classifier(path: str):
 
 @operator("fasttext_model_mapper", "table")
 def fasttext_model_mapper(df: DataFrame, field: str, output_field: str, model_path: str, prob_field: str, label_prefix: str = "__label__") -> DataFrame:
-    """The first label of a classifier and its probability; null gives nulls. The model is loaded once in a worker."""
+    """The first label of a classifier and its probability; null gives nulls.
+
+    ``model_path``: a fastText ``.bin`` or ``.ftz`` where that library is installed, at that path on the workers or sent by ``addFile``; else a JSON
+    model, which is read on the driver and sent to the workers. Either is loaded once in a worker.
+    """
     if not isinstance(df.schema[field].dataType, T.StringType):
         raise ValueError(f"{field} must be a string column")
 
+    binary = model_path.endswith((".bin", ".ftz"))
+    sent = None if binary else df.sparkSession.sparkContext.broadcast(read_text(model_path))
+
     def predict(t):
-        label, prob = _classifier(model_path)(t.replace("\n", ""))
+        label, prob = (_fasttext(model_path) if binary else _classifier(sent.value))(t.replace("\n", ""))
         return label.removeprefix(label_prefix), prob
 
     return _label_and_prob(df, field, output_field, prob_field, predict)
@@ -177,12 +191,13 @@ def mask(text: str, mask_map: dict[str, dict | None]) -> str:
     for entity in mask_map:
         weight, pattern, test = ENTITIES[entity]
         found += [(-weight, m.start() - m.end(), m.start(), m.end(), entity) for m in pattern.finditer(text) if test is None or test(m[0])]
-    kept: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str]] = []  # in order of place, none overlapping another
     for _, _, a, z, entity in sorted(found):
-        if all(z <= s or e <= a for s, e, _ in kept):
-            kept.append((a, z, entity))
+        i = bisect_left(kept, (z,))
+        if not i or kept[i - 1][1] <= a:
+            kept.insert(i, (a, z, entity))
     out, at = [], 0
-    for a, z, entity in sorted(kept):
+    for a, z, entity in kept:
         out += [text[at:a], _written(text[a:z], entity, mask_map[entity])]
         at = z
     return "".join(out) + text[at:]

@@ -46,26 +46,27 @@ COMMON_WORDS = """
 
 
 @lru_cache(4)
-def _dictionary(path: str | None) -> tuple[dict[str, float], float, int]:
-    """Log-frequencies, the logarithm of their sum, and the longest word. Lines of a file: word, frequency."""
+def _dictionary(lines: str) -> tuple[dict[str, float], float, int]:
+    """Log-frequencies, the logarithm of their sum, and the longest word. Lines: word, frequency."""
     counts = {w: 100.0 for w in COMMON_WORDS}
-    for line in read_text(path).splitlines() if path else ():
+    for line in lines.splitlines():
         parts = line.split()
         if parts:
             counts[parts[0]] = float(parts[1]) if len(parts) > 1 else 1.0
     return {w: math.log(n) for w, n in counts.items()}, math.log(sum(counts.values())), max(map(len, counts))
 
 
-_RUN = re.compile(r"([㐀-䶿一-鿿豈-﫿]+)|([A-Za-z0-9]+(?:[.+#&_%-][A-Za-z0-9]+)*)|(\s+)|(.)", re.DOTALL)
+#: Han characters; ASCII words and numbers, with a share's sign; signs that may stand in them, together; blanks and other characters one by one.
+_RUN = re.compile(r"([㐀-䶿一-鿿豈-﫿]+)|[A-Za-z0-9]+(?:\.[0-9]+)?%?|[+#&._%-]+|\r\n|.", re.DOTALL)
 
 
-def segment(text: str, dictionary: str | None = None) -> list[str]:
-    """The split of greatest probability; characters that no word covers stand alone."""
-    logs, total, longest = _dictionary(dictionary)
+def segment(text: str, lines: str = "") -> list[str]:
+    """The split of greatest probability; characters that no word covers stand alone, blanks too. ``lines``: those of a dictionary."""
+    logs, total, longest = _dictionary(lines)
     out = []
     for m in _RUN.finditer(text):
         if not m[1]:
-            out += [m[0]] if not m[3] else []
+            out.append(m[0])
             continue
         run = m[1]
         best, back = [0.0] + [-math.inf] * len(run), [0] * (len(run) + 1)
@@ -86,15 +87,16 @@ def segment(text: str, dictionary: str | None = None) -> list[str]:
 def jieba_chinese_tokenizer_mapper(df: DataFrame, col: Column, punctuation_filter: bool = True, dictionary_path: str | None = None) -> Column:
     """Chinese words by the most probable split; tokens with punctuation left out on request. Null and empty give null.
 
-    ``dictionary_path``: a file of ``word frequency`` lines; without it only some common words are known.
+    ``dictionary_path``: a file of ``word frequency`` lines, read on the driver and sent to the workers; without it only some common words are known.
     """
+    sent = df.sparkSession.sparkContext.broadcast(read_text(dictionary_path) if dictionary_path else "")
 
     @F.pandas_udf("array<string>")
     def tokens(texts: pd.Series) -> pd.Series:
         def one(t):
             if not t:
                 return None
-            return [w for w in segment(t, dictionary_path) if not (punctuation_filter and any(unicodedata.category(c).startswith("P") for c in w))]
+            return [w for w in segment(t, sent.value) if not (punctuation_filter and any(unicodedata.category(c).startswith("P") for c in w))]
 
         return texts.map(one)
 

@@ -6,16 +6,14 @@ Keyword and host lists come from the tables themselves or are written here; ever
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import millrace.operators  # noqa: F401
 from millrace.operators.tokens import SIMPLIFIED, TRADITIONAL, TREEBANK
+from millrace.plans.durable import shared_dir
 from millrace.plans.pipeline import Pipeline, run_operator
 from millrace.streaming import over_stream
 
@@ -37,12 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run_operator("regular_path_reader", spark=spark, input_path=f"{sf_dir}/{name}.parquet", format="parquet")
 
 
-@cache
-def _list_file(words: tuple[str, ...]) -> str:
-    """A resource file, read on the driver only."""
-    path = os.path.join(tempfile.gettempdir(), f"millrace-{uuid.uuid4().hex}.json")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(words, f)
+def _resource(spark: SparkSession, value) -> str:
+    """A JSON file in the shared folder."""
+    path = f"{shared_dir(spark)}/millrace-resource-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
     return path
 
 
@@ -116,12 +112,12 @@ KEYWORDS = ("idiot", "scum", "pathetic", "worthless")
 
 @query("SELECT doc_id, " + " + ".join(f"len(string_split(text, '{w}')) - 1" for w in KEYWORDS) + " <= 1 AND text IS NOT NULL AS tag FROM documents")
 def sensitive_doc_filter(spark, sf_dir):
-    return run_operator("sensitive_doc_filter", docs(spark, sf_dir), field="text", sensitive_keyword_paths=[_list_file(KEYWORDS)], mode="tag", drop=["text"])
+    return run_operator("sensitive_doc_filter", docs(spark, sf_dir), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], mode="tag", drop=["text"])
 
 
 @query("SELECT doc_id, k.w AS keyword, count(*) AS hits FROM documents, (SELECT unnest(['idiot', 'scum', 'pathetic', 'worthless']) AS w) k, range(1, 100000) r(i) WHERE i < len(string_split(text, k.w)) GROUP BY ALL")
 def sensitive_doc_hits(spark, sf_dir):
-    tagged = run_operator("sensitive_doc_filter", docs(spark, sf_dir), field="text", sensitive_keyword_paths=[_list_file(KEYWORDS)], targeted_keywords_field="hits", mode="tag")
+    tagged = run_operator("sensitive_doc_filter", docs(spark, sf_dir), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], targeted_keywords_field="hits", mode="tag")
     return tagged.select("doc_id", F.explode("hits").alias("h")).groupBy("doc_id", F.col("h.keyword").alias("keyword")).agg(F.count("*").alias("hits"))
 
 
@@ -131,7 +127,7 @@ HOSTS = ("thanor.example.com", "the.example.net", "tiontion.example.net", "therh
 @query("SELECT page_id, h.host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host FROM pages) h WHERE host NOT IN ('" + "', '".join(HOSTS) + "')")
 def trash_host_filter(spark, sf_dir):
     pages = run_operator("url_component_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "url"), field="url", required_components=["host"])
-    return run_operator("trash_host_filter", pages, field="host", trash_host_paths=[_list_file(HOSTS)], select=["page_id", "host"])
+    return run_operator("trash_host_filter", pages, field="host", trash_host_paths=[_resource(spark, HOSTS)], select=["page_id", "host"])
 
 
 @query("SELECT o_orderkey, o_totalprice::INTEGER AS o_totalprice, o_custkey::VARCHAR AS o_custkey, try_cast(o_orderstatus AS INTEGER) AS o_orderstatus FROM (SELECT o_orderkey, trunc(o_totalprice) AS o_totalprice, o_custkey, o_orderstatus FROM orders)")
@@ -224,7 +220,7 @@ def explode(spark, sf_dir):
     return run_operator("explode", table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), field="embedding", exploded_cols=["x"], drop=["embedding"])
 
 
-@query()
+@query("SELECT doc_id, nullif(nfc_normalize(text), '') AS text FROM documents -- no document holds a character whose forms NFC and NFKC differ")
 def character_normalization(spark, sf_dir):
     return run_operator("character_normalization_mapper", docs(spark, sf_dir), field="text", output_field="text")
 
@@ -363,9 +359,11 @@ def nltk_tokenizer(spark, sf_dir):
     return made.withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query()
+@query(r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '(?s)[A-Za-z0-9]+(?:\.[0-9]+)?%?|[+#&._%-]+|\r\n|.'), lambda t: NOT regexp_matches(t, '\pP')), '|') AS tokens FROM documents""")
 def jieba_chinese_tokenizer(spark, sf_dir):
-    return run_operator("jieba_chinese_tokenizer_mapper", docs(spark, sf_dir), field="text", output_field="tokens", drop=["text"])
+    """The documents hold no Chinese; the SQL has the rules for everything else."""
+    made = run_operator("jieba_chinese_tokenizer_mapper", docs(spark, sf_dir), field="text", output_field="tokens", drop=["text"])
+    return made.withColumn("tokens", F.array_join("tokens", "|"))
 
 
 @query()
@@ -379,15 +377,8 @@ ACCENTED = "éèàçêäöüßñíóú"
 @query(f"""SELECT doc_id, CASE WHEN a >= 0.02 THEN 'accented' ELSE 'other' END AS label, 1 / (1 + exp(-abs(a - 0.02))) AS prob FROM (SELECT doc_id,
   (length(t) - length(regexp_replace(t, '[{ACCENTED}]', '', 'g'))) / length(t) AS a FROM (SELECT doc_id, replace(text, chr(10), '') AS t FROM documents))""")
 def fasttext_model(spark, sf_dir):
-    path = os.path.join(tempfile.gettempdir(), f"millrace-{uuid.uuid4().hex}.json")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"ngrams": [1, 1], "bias": {"other": 0.02}, "weights": {"accented": dict.fromkeys(ACCENTED, 1.0), "other": {}}}, f)
-    # the worker reads the model from wherever Spark keeps sent files
-    spark.sparkContext.addFile(path)
-    from pyspark import SparkFiles
-
-    name = os.path.basename(path)
-    return run_operator("fasttext_model_mapper", docs(spark, sf_dir), field="text", output_field="label", prob_field="prob", model_path=SparkFiles.get(name), drop=["text"])
+    path = _resource(spark, {"ngrams": [1, 1], "bias": {"other": 0.02}, "weights": {"accented": dict.fromkeys(ACCENTED, 1.0), "other": {}}})
+    return run_operator("fasttext_model_mapper", docs(spark, sf_dir), field="text", output_field="label", prob_field="prob", model_path=path, drop=["text"])
 
 
 @query()
@@ -419,8 +410,6 @@ def litellm(spark, sf_dir):
 @query("SELECT doc_id, length(text)::INTEGER AS n FROM documents WHERE contains(text, ' the ')")
 def streamed_mappers(spark, sf_dir):
     """Row-local operators over a stream of the documents, run to the end of what is there and read back from the shared folder."""
-    from millrace.plans.durable import shared_dir
-
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     path = f"{sf_dir}/documents.parque[t]"  # as a pattern it may be a file or a folder
     folder = f"{shared_dir(spark)}/millrace-stream-{uuid.uuid4().hex}"
@@ -433,8 +422,6 @@ def streamed_mappers(spark, sf_dir):
 @query("SELECT doc_id, length(text)::INTEGER AS n FROM documents")
 def written_and_read(spark, sf_dir):
     """Through the file sink, the table sink and the readers."""
-    from millrace.plans.durable import shared_dir
-
     folder = f"{shared_dir(spark)}/millrace-written-{uuid.uuid4().hex}"
     made = run_operator("text_length_mapper", docs(spark, sf_dir), field="text", output_field="n", drop=["text"])
     run_operator("path_writer", made, path=folder, format="parquet", mode="overwrite")
@@ -446,8 +433,6 @@ def written_and_read(spark, sf_dir):
 @query("SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
 def whole_files(spark, sf_dir):
     """A file for each nation, read back whole."""
-    from millrace.plans.durable import shared_dir
-
     folder = f"{shared_dir(spark)}/millrace-files-{uuid.uuid4().hex}"
     nations = table(spark, sf_dir, "nation").select(F.concat_ws("|", "n_nationkey", "n_name").alias("value"))
     nations.repartition(32, "value").write.option("lineSep", ";").text(folder)
@@ -459,8 +444,6 @@ def whole_files(spark, sf_dir):
 @query("SELECT url, html AS content FROM pages")
 def warc_wet_reader(spark, sf_dir):
     """Pages written as WARC records and read back."""
-    from millrace.plans.durable import shared_dir
-
     folder = f"{shared_dir(spark)}/millrace-warc-{uuid.uuid4().hex}"
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: "), "url", F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     table(spark, sf_dir, "pages").select(F.concat(head, "html", F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "\n").text(folder)
