@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.durable import broadcast_if_small, durable
 from millrace.plans.registry import operator
 
 
@@ -43,11 +44,29 @@ def sample(df: DataFrame, sample: int | float, seed: int = 777) -> DataFrame:
 
 @operator("stratified_sampler", "table")
 def stratified_sampler(df: DataFrame, strata_column: str, samples_per_stratum: int = 100, seed: int = 777) -> DataFrame:
-    """At most so many rows of each stratum, null being one, in a repeatable random order; pruned before the shuffle."""
+    """At most so many rows of each stratum, null being one, in a repeatable random order.
+
+    Few samples: Spark prunes them in each task, before the shuffle. More than it does that for
+    (``spark.sql.optimizer.windowGroupLimitThreshold``): the cut of each stratum lies in one of 4096 ranges of the order; those below it are
+    taken whole, so that no stratum is gathered in one task.
+    """
     if strata_column not in df.columns:
         raise ValueError(f"there is no column {strata_column!r}")
-    w = Window.partitionBy(f"`{strata_column}`").orderBy(_order(df, seed))
-    return df.withColumn("stratum_row_", F.row_number().over(w)).filter(F.col("stratum_row_") <= samples_per_stratum).drop("stratum_row_")
+    stratum, order = F.col(f"`{strata_column}`"), _order(df, seed)
+    w = Window.partitionBy(f"`{strata_column}`").orderBy(order)
+    number = F.row_number().over(w)
+    if samples_per_stratum <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return df.withColumn("stratum_row_", number).filter(F.col("stratum_row_") <= samples_per_stratum).drop("stratum_row_")
+    part = F.shiftright(order, 52)
+    counts = df.groupBy(stratum.alias("stratum_"), part.alias("part_")).agg(F.count("*").alias("n_"))
+    upto = Window.partitionBy("stratum_").orderBy("part_")
+    ends = counts.withColumn("end_", F.sum("n_").over(upto)).filter(F.col("end_") > samples_per_stratum)
+    cut = ends.groupBy("stratum_").agg(F.min("part_").alias("cut_"), F.min(F.col("end_") - F.col("n_")).alias("before_"))
+    cut = broadcast_if_small(durable(cut), 100_000)
+    met = df.withColumn("part_", part).join(cut, stratum.eqNullSafe(F.col("stratum_")), "left")
+    below = met.filter(F.col("cut_").isNull() | (F.col("part_") < F.col("cut_"))).select(*(F.col(f"`{c}`") for c in df.columns))
+    at_cut = met.filter(F.col("part_") == F.col("cut_")).withColumn("stratum_row_", number).filter(F.col("stratum_row_") + F.col("before_") <= samples_per_stratum)
+    return below.unionByName(at_cut.select(*(F.col(f"`{c}`") for c in df.columns)))
 
 
 #: Names of types that columns can be cast to.

@@ -45,19 +45,27 @@ def _compiled(source: Any):
     return space["choose"]
 
 
+#: What a task of the tournament holds at most: rows, and their bytes in Arrow's form.
+HELD_ROWS, HELD_BYTES = 50_000, 32 << 20
+
+
 def _tournament(df: DataFrame, key: str, source: Any) -> DataFrame:
     """One row of each key by a pairwise choice: first within each task, then over what the tasks sent. Streams; holds no group."""
     arrow = to_arrow_schema(df.schema)
 
-    def rounds(batches, limit):
-        choose, best = _compiled(source), {}
-        for b in batches:
-            for values in b.to_pylist():
-                row, k = Row(**values), values[key]
-                best[k] = choose(best[k], row) if k in best else row
-                if len(best) > limit:
+    def rounds(batches):
+        choose, best, size = _compiled(source), {}, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                for values in b.to_pylist():
+                    row, k = Row(**values), values[key]
+                    best[k] = choose(best[k], row) if k in best else row
+                size += b.nbytes
+                if len(best) > HELD_ROWS or size > HELD_BYTES:
                     yield pa.RecordBatch.from_pylist([r.asDict() for r in best.values()], schema=arrow)
                     best.clear()
+                    size = 0
         if best:
             yield pa.RecordBatch.from_pylist([r.asDict() for r in best.values()], schema=arrow)
 
@@ -75,7 +83,7 @@ def _tournament(df: DataFrame, key: str, source: Any) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_pylist([held.asDict()], schema=arrow)
 
-    once = df.mapInArrow(lambda it: rounds(it, 50_000), df.schema)
+    once = df.mapInArrow(rounds, df.schema)
     return once.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(final, df.schema)
 
 
@@ -88,21 +96,26 @@ def _by_mode(df: DataFrame, stays: Column, mode: str) -> DataFrame:
 def _by_aggregate(df: DataFrame, key: str, mode: str, order: Column, greatest: bool) -> DataFrame:
     """The best of each class by an aggregate, combined map-side; then rows meet only the classes that have several.
 
-    Texts are shuffled only if those classes are too many to broadcast. Rows equal in all columns are told apart last, by themselves.
+    Texts are shuffled only if those classes are too many to broadcast. Of rows equal in all columns one is as good as another: the
+    least number of a row is taken, an aggregate too.
     """
     best = df.select(key, order.alias("o_")).groupBy(key).agg((F.max if greatest else F.min)("o_").alias("best_"), F.count("*").alias("n_"))
     best = durable(best.filter("n_ > 1").select(F.col(key).alias("key_"), "best_"))
     small = broadcast_if_small(best, 200_000)
     met = df.withColumn("o_", order).join(small, F.col(key).eqNullSafe(F.col("key_")), "left")
     chosen = F.col("o_").eqNullSafe(F.col("best_"))
-    equal = durable(met.filter(F.col("best_").isNotNull() & chosen).groupBy(key).agg(F.count("*").alias("n_")).filter("n_ > 1").select(F.col(key).alias("equal_"), F.lit(True).alias("several_")))
+    tied = met.filter(F.col("best_").isNotNull() & chosen)
+    equal = durable(tied.groupBy(key).agg(F.count("*").alias("n_")).filter("n_ > 1").select(F.col(key).alias("equal_")))
     stays = F.col("best_").isNull() | chosen
     if not equal.limit(1).count():
         return _by_mode(met, stays, mode).drop("o_", "key_", "best_")
-    met = met.join(broadcast_if_small(equal, 200_000), chosen & F.col(key).eqNullSafe(F.col("equal_")), "left")
+    several = chosen & F.col(key).eqNullSafe(F.col("equal_"))
+    met = met.join(broadcast_if_small(equal.withColumn("several_", F.lit(True)), 200_000), several, "left")
     rest = _by_mode(met.filter("several_ IS NULL"), stays, mode)
-    number = F.row_number().over(Window.partitionBy(key).orderBy("o_"))
-    ones = _by_mode(met.filter("several_").withColumn("first_", number == 1), F.col("first_"), mode).drop("first_")
+    alike = durable(met.filter("several_").withColumn("number_", F.monotonically_increasing_id()))
+    first = durable(alike.groupBy(key).agg(F.min("number_").alias("first_")).select(F.col(key).alias("one_"), "first_"))
+    ones = alike.join(broadcast_if_small(first, 200_000), F.col(key).eqNullSafe(F.col("one_")))
+    ones = _by_mode(ones, F.col("number_") == F.col("first_"), mode).drop("one_", "first_", "number_")
     return rest.unionByName(ones).drop("o_", "key_", "best_", "equal_", "several_")
 
 
@@ -119,6 +132,7 @@ def keep_by(df: DataFrame, key: str, mode: str, order_by: list[str] | None, comp
     else:
         down = [bool(re.search(r"(?i)\sdesc\s*$", o)) for o in order_by]
         bare = [F.expr(re.sub(r"(?i)\s+(asc|desc)\s*$", "", o)) for o in order_by]
+        # the first of each class: Spark sends one row of a class from each task
         w = Window.partitionBy(key).orderBy(*(c.desc() if d else c.asc() for c, d in zip(bare, down, strict=True)), "row_")
         stay = rows.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").select("row_")
     met = rows.join(stay.withColumn("stays_", F.lit(True)), "row_", "left")
@@ -148,20 +162,40 @@ def best_bands(threshold: float, num_perm: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def band_hashes(tokens: list[str], ngram: int, num_perm: int, b: int, r: int, seed: int) -> np.ndarray:
-    """One 64-bit hash for each band of the MinHash signature of a text's token n-grams."""
+def gram_hashes(tokens: list[str], ngram: int) -> np.ndarray:
+    """XXH32 of each token n-gram in lower case, joined by a space; fewer tokens are one gram."""
     import xxhash
 
-    n = max(1, len(tokens) - ngram + 1)
-    grams = {" ".join(tokens[i : i + ngram]).lower() for i in range(n)}
-    h = np.fromiter((xxhash.xxh32_intdigest(g.encode()) for g in grams), np.uint64, len(grams))
-    # multiply-shift hashing (Dietzfelbinger, 1996): strongly universal from 32 bits to 32 bits, without a modulus
-    rng = np.random.default_rng(seed)
-    a, c = rng.integers(0, 2**64, num_perm, np.uint64, endpoint=False), rng.integers(0, 2**64, num_perm, np.uint64, endpoint=False)
-    signature = np.full(num_perm, 2**32 - 1, np.uint64)
-    for at in range(0, len(h), 1024):
-        signature = np.minimum(signature, ((h[at : at + 1024, None] * a + c) >> np.uint64(32)).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(signature[i * r : (i + 1) * r].tobytes(), i) for i in range(b)], np.uint64).view(np.int64)
+    words = [t.encode("utf-8", "surrogatepass") for t in " ".join(tokens).lower().split(" ")] if all(" " not in t for t in tokens) else [t.lower().encode("utf-8", "surrogatepass") for t in tokens]
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - ngram + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    stops = ends[min(ngram, len(words)) - 1 :].tolist()
+    hash32 = xxhash.xxh32_intdigest
+    return np.fromiter([hash32(joined[a:z]) for a, z in zip(starts, stops, strict=True)], np.uint64, n)
+
+
+class Bands:
+    """Hashes of the bands of MinHash signatures, by multiply-shift hashing (Dietzfelbinger, 1996): strongly universal from 32 bits to 32 bits."""
+
+    def __init__(self, num_perm: int, b: int, r: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.a, self.c = rng.integers(0, 2**64, num_perm, np.uint64, endpoint=False), rng.integers(0, 2**64, num_perm, np.uint64, endpoint=False)
+        self.a, self.c, self.b, self.r = self.a[: b * r, None], self.c[: b * r, None], b, r
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """One 64-bit hash for each band."""
+        import xxhash
+
+        hashes = np.unique(hashes)
+        least = np.full(self.b * self.r, 2**32 - 1, np.uint64)
+        for at in range(0, len(hashes), 128):  # permutations by grams, as much as a core's cache holds
+            v = self.a * hashes[at : at + 128]
+            v += self.c
+            least = np.minimum(least, v.min(axis=1) >> np.uint64(32))
+        rows = least.reshape(self.b, self.r)
+        return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(rows)], np.uint64).view(np.int64)
 
 
 @operator("minhash_lsh_deduplicator", "table")
@@ -189,7 +223,8 @@ def minhash_lsh_deduplicator(
 
     @F.pandas_udf("array<long>")
     def bands(lists: pd.Series) -> pd.Series:
-        return pd.Series([band_hashes(["" if t is None else t for t in x], ngram_size, num_perm, b, r, seed) for x in lists])
+        sign = Bands(num_perm, b, r, seed)
+        return pd.Series([sign(gram_hashes(["" if t is None else t for t in x], ngram_size)) for x in lists])
 
     # equal fields are one node, so a huge group of copies is one row from here on
     node = F.unhex(F.md5((col if is_text else F.to_json(col)).cast("binary")))

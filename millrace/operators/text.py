@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,29 +85,46 @@ def duplicate_paragraph_chr_fraction_mapper(df: DataFrame, col: Column) -> Colum
     return _repeated_share(col, "\n\n")
 
 
-def _windows(text: str, n: int) -> np.ndarray:
-    """For each position, the number of the first position with the same n characters."""
+def gram_numbers(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the rising ``sizes``, the n-gram that starts at each position, numbered by first occurrence; exact, without hashing.
+
+    Characters are numbered first, so that an n-gram is a whole number of few bits. One that 63 bits don't hold is the pair of two
+    shorter ones, which together cover it.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ranks, width = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
-    while width < n:  # ranks of twice the width from pairs of ranks: exact, no hashing
-        step = min(width, n - width)
-        ranks = np.unique(ranks[:-step] * (len(ranks) + 1) + ranks[step:], return_inverse=True)[1]
-        width += step
-    return ranks
+    letters = pd.factorize(codes)[0].astype(np.int64)
+    bits = max(1, int(letters.max(initial=0)).bit_length())
+    width, packed, known = 1, letters, {1: letters}
+    for n in range(1, max(sizes) + 1):
+        if len(text) < n:
+            return
+        if n * bits <= 63:
+            if n > 1:
+                packed = (packed[:-1] << bits) | letters[n - 1 :]
+            width = n
+            if n in sizes or n * bits + bits > 63 or 2 * n >= max(sizes):
+                known[n] = pd.factorize(packed)[0]
+        elif n in sizes or n == 2 * max(known):
+            half = max(known)
+            left, right = known[half][: len(text) - n + 1], known[half][n - half :]
+            known[n] = pd.factorize(left * (int(known[half].max()) + 1) + right)[0]
+        if n in sizes:
+            yield n, known[n]
+
+
+def covered(numbers: np.ndarray, n: int, length: int, top: bool) -> float:
+    """Share of the characters within n-grams that occur more than once, or within those of the most frequent one (the first of them)."""
+    counts = np.bincount(numbers)
+    starts = numbers == np.argmax(counts) if top else counts[numbers] > 1
+    edge = np.zeros(length + 1, np.int8)
+    edge[: len(starts)] += starts
+    edge[n:] -= starts
+    return float(np.count_nonzero(np.cumsum(edge, dtype=np.int32)[:-1]) / length)
 
 
-def covered(text: str, n: int, top: bool) -> float:
-    """Share of the characters within n-grams that occur more than once, or within those of the most frequent one (the first of them)."""
-    if len(text) < n:
-        return 0.0
-    ranks = _windows(text, n)
-    counts = np.bincount(ranks)
-    at = counts[ranks]
-    starts = ranks == ranks[int(np.argmax(at))] if top else at > 1
-    edge = np.zeros(len(text) + 1, np.int64)
-    edge[: len(starts)][starts] += 1
-    edge[n:][starts] -= 1
-    return float(np.count_nonzero(np.cumsum(edge)[:-1] > 0) / len(text))
+def gram_shares(text: str, sizes: list[int], top: bool) -> list[float]:
+    found = {n: covered(numbers, n, len(text), top) for n, numbers in gram_numbers(text, sizes)} if text else {}
+    return [found.get(n, 0.0) for n in sizes]
 
 
 def _gram_shares(df: DataFrame, field: str, ngram_range: tuple[int, int], name: str, top: bool) -> DataFrame:
@@ -118,7 +136,7 @@ def _gram_shares(df: DataFrame, field: str, ngram_range: tuple[int, int], name:
 
     @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
     def shares(texts: pd.Series) -> pd.DataFrame:
-        rows = [[None] * len(sizes) if t is None else [covered(t, n, top) for n in sizes] for t in texts]
+        rows = [[None] * len(sizes) if t is None else gram_shares(t, sizes, top) for t in texts]
         return pd.DataFrame(rows, columns=names, dtype="float64")
 
     out = df.withColumn("shares_", shares(F.col(f"`{field}`")))
