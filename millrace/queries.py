@@ -31,8 +31,8 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return run_operator("regular_path_reader", spark=spark, input_path=f"{sf_dir}/{name}.parquet", format="parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    return run_operator("regular_path_reader", spark=spark, input_path=f"{sf_dir}/{name}.parquet", format="parquet", spread=spread)
 
 
 def _resource(spark: SparkSession, value) -> str:
@@ -42,8 +42,8 @@ def _resource(spark: SparkSession, value) -> str:
     return path
 
 
-def docs(spark, sf_dir, *columns):
-    return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
+def docs(spark, sf_dir, *columns, spread=False):
+    return table(spark, sf_dir, "documents", spread).select(*(columns or ("doc_id", "text")))
 
 
 def with_tokens(df):
@@ -104,7 +104,7 @@ def null_rows_filter(spark, sf_dir):
 @query("""SELECT doc_id, length(text) > 0 AND coalesce(1 - list_sum(list_transform(list_filter(t, lambda x: regexp_matches(x, '[\\x{FFFD}\\x00-\\x08\\x0E-\\x1F\\x{7F}-\\x{9F}]') OR regexp_full_match(x, '[¡-ÿĀ-ſ]{1,2}') AND NOT regexp_full_match(x, '[àáéóòèÀÉÓ«»¿¡°]')), lambda x: length(x)))
   / list_sum(list_transform(t, lambda x: length(x))), 1) < 0.5 AS is_garbled FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS t FROM documents)""")
 def garbled_text_filter(spark, sf_dir):
-    return run_operator("garbled_text_filter", docs(spark, sf_dir), field="text", mode="tag", drop=["text"])
+    return run_operator("garbled_text_filter", docs(spark, sf_dir, spread=True), field="text", mode="tag", drop=["text"])
 
 
 KEYWORDS = ("idiot", "scum", "pathetic", "worthless")
@@ -112,12 +112,12 @@ KEYWORDS = ("idiot", "scum", "pathetic", "worthless")
 
 @query("SELECT doc_id, " + " + ".join(f"len(string_split(text, '{w}')) - 1" for w in KEYWORDS) + " <= 1 AND text IS NOT NULL AS tag FROM documents")
 def sensitive_doc_filter(spark, sf_dir):
-    return run_operator("sensitive_doc_filter", docs(spark, sf_dir), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], mode="tag", drop=["text"])
+    return run_operator("sensitive_doc_filter", docs(spark, sf_dir, spread=True), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], mode="tag", drop=["text"])
 
 
 @query("SELECT doc_id, k.w AS keyword, count(*) AS hits FROM documents, (SELECT unnest(['idiot', 'scum', 'pathetic', 'worthless']) AS w) k, range(1, 100000) r(i) WHERE i < len(string_split(text, k.w)) GROUP BY ALL")
 def sensitive_doc_hits(spark, sf_dir):
-    tagged = run_operator("sensitive_doc_filter", docs(spark, sf_dir), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], targeted_keywords_field="hits", mode="tag")
+    tagged = run_operator("sensitive_doc_filter", docs(spark, sf_dir, spread=True), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], targeted_keywords_field="hits", mode="tag")
     return tagged.select("doc_id", F.explode("hits").alias("h")).groupBy("doc_id", F.col("h.keyword").alias("keyword")).agg(F.count("*").alias("hits"))
 
 
@@ -161,13 +161,13 @@ def field_count_reducer(spark, sf_dir):
 
 @query("SELECT tokens, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS tokens FROM documents) GROUP BY tokens")
 def array_flatmap_count_reducer(spark, sf_dir):
-    return run_operator("array_flatmap_count_reducer", with_tokens(docs(spark, sf_dir)), field="tokens")
+    return run_operator("array_flatmap_count_reducer", with_tokens(docs(spark, sf_dir, spread=True)), field="tokens")
 
 
 @query("""SELECT char, frequency, cumsum, cumsum / total AS cumsum_rate FROM (SELECT char, frequency, sum(frequency) OVER (ORDER BY frequency DESC, char ROWS UNBOUNDED PRECEDING)::BIGINT AS cumsum, sum(frequency) OVER () AS total
   FROM (SELECT char, count(*) AS frequency FROM (SELECT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> '' GROUP BY char)) WHERE cumsum / total >= 0.99""")
 def filter_obscure_char_reducer(spark, sf_dir):
-    return run_operator("filter_obscure_char_reducer", docs(spark, sf_dir), field="text")
+    return run_operator("filter_obscure_char_reducer", docs(spark, sf_dir, spread=True), field="text")
 
 
 @query("SELECT quantile_disc(l_quantity, 0.95) AS l_quantity FROM lineitem")
@@ -195,7 +195,7 @@ def exact_deduplicator_flag(spark, sf_dir):
 
 @query()
 def minhash_lsh_deduplicator(spark, sf_dir):
-    near = run_operator("minhash_lsh_deduplicator", docs(spark, sf_dir), field="text", threshold=0.8, ngram_size=5, mode="dedup_with_dup", order_by=["doc_id"])
+    near = run_operator("minhash_lsh_deduplicator", docs(spark, sf_dir, spread=True), field="text", threshold=0.8, ngram_size=5, mode="dedup_with_dup", order_by=["doc_id"])
     return near.select("doc_id", "__component__", "__stay__")
 
 
@@ -232,12 +232,12 @@ def character_removal(spark, sf_dir):
 
 @query(r"SELECT doc_id, regexp_replace(text, '[^\P{C}\n]|[^\P{Z} ]', '', 'g') AS text FROM documents")
 def unprintable_char_remove(spark, sf_dir):
-    return run_operator("unprintable_char_remove_mapper", docs(spark, sf_dir), field="text", output_field="text")
+    return run_operator("unprintable_char_remove_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="text")
 
 
 @query(f"SELECT doc_id, translate(text, '{TRADITIONAL}', '{SIMPLIFIED}') AS text FROM documents")
 def chinese_traditional_to_simple(spark, sf_dir):
-    return run_operator("chinese_traditional_to_simple_mapper", docs(spark, sf_dir), field="text", output_field="text")
+    return run_operator("chinese_traditional_to_simple_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="text")
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '[0-9]')), chr(10)) AS text FROM documents")
@@ -256,12 +256,12 @@ SHARE = "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE (list_sum(list_tr
 
 @query(SHARE.format("chr(10)"))
 def duplicate_line_chr_fraction(spark, sf_dir):
-    return run_operator("duplicate_line_chr_fraction_mapper", docs(spark, sf_dir), field="text", output_field="share", drop=["text"])
+    return run_operator("duplicate_line_chr_fraction_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="share", drop=["text"])
 
 
 @query(SHARE.format("chr(10) || chr(10)"))
 def duplicate_paragraph_chr_fraction(spark, sf_dir):
-    return run_operator("duplicate_paragraph_chr_fraction_mapper", docs(spark, sf_dir), field="text", output_field="share", drop=["text"])
+    return run_operator("duplicate_paragraph_chr_fraction_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="share", drop=["text"])
 
 
 def _grams(low: int, high: int, name: str, top: bool) -> str:
@@ -276,18 +276,18 @@ def _grams(low: int, high: int, name: str, top: bool) -> str:
 
 @query(_grams(5, 10, "dup_{}_ngram_chr_fraction", False))
 def duplicate_ngram_chr_fraction(spark, sf_dir):
-    return run_operator("duplicate_ngram_chr_fraction_mapper", docs(spark, sf_dir), field="text", drop=["text"])
+    return run_operator("duplicate_ngram_chr_fraction_mapper", docs(spark, sf_dir, spread=True), field="text", drop=["text"])
 
 
 @query(_grams(3, 5, "top_{}_gram_chr_fraction", True))
 def top_ngram_chr_fraction(spark, sf_dir):
-    return run_operator("top_ngram_chr_fraction_mapper", docs(spark, sf_dir), field="text", drop=["text"])
+    return run_operator("top_ngram_chr_fraction_mapper", docs(spark, sf_dir, spread=True), field="text", drop=["text"])
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM c GROUP BY token)
   SELECT doc_id, token, tf, df, round_even(tf * (ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)) + 1), 4) AS tfidf FROM c JOIN d USING (token)""")
 def tfidf(spark, sf_dir):
-    made = run_operator("tfidf_mapper", with_tokens(docs(spark, sf_dir)), field="tokens", output_field="scores")
+    made = run_operator("tfidf_mapper", with_tokens(docs(spark, sf_dir, spread=True)), field="tokens", output_field="scores")
     return made.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.token", "s.tf", "s.df", "s.tfidf")
 
 
@@ -310,16 +310,12 @@ def datetime_extraction(spark, sf_dir):
     return found.withColumn("dates", F.array_join("dates", "|"))
 
 
-@query("SELECT doc_id, '' AS dates FROM documents WHERE NOT regexp_matches(text, '[0-9]{4}')")
+@query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(
+    regexp_extract_all(text, '\b(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})\b'),
+    lambda m: coalesce(try_strptime(m, '%Y-%m-%d'), try_strptime(m, '%B %d, %Y'))), lambda d: d IS NOT NULL), lambda d: strftime(d, '%Y-%m-%d %H:%M:%S')), '|') AS dates FROM documents""")
 def datetime_extraction_documents(spark, sf_dir):
-    found = run_operator("datetime_extraction_mapper", docs(spark, sf_dir), field="text", output_field="dates")
-    return found.filter(~F.col("text").rlike("[0-9]{4}")).select("doc_id", F.array_join("dates", "|").alias("dates"))
-
-
-@query()
-def datetime_extraction_all_documents(spark, sf_dir):
-    """The dates of every document. SQL expresses neither the readings of ``dateutil`` nor its refusals; tests hold it against brute force."""
-    found = run_operator("datetime_extraction_mapper", docs(spark, sf_dir), field="text", output_field="dates", drop=["text"])
+    """The dates of every document; the SQL reads two forms by itself, others a test holds against brute force."""
+    found = run_operator("datetime_extraction_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="dates", drop=["text"])
     return found.withColumn("dates", F.array_join("dates", "|"))
 
 
@@ -329,20 +325,23 @@ def timestamp_mapper(spark, sf_dir):
     return run_operator("timestamp_mapper", written, field="dt", output_field="seconds", tz="UTC+08:00", drop=["dt"])
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<(/?p|/?h1|br)[^<>]*>', chr(1), 'g') AS x FROM pages),
+  b AS (SELECT page_id, list_transform(string_split(regexp_replace(x, '<[^<>]*>', '', 'g'), chr(1)), lambda s: regexp_replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g')) AS x FROM a)
+  SELECT page_id, nullif(array_to_string(list_filter(list_transform(x, lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> ''), chr(10)), '') AS text FROM b""")
 def html_content_extract(spark, sf_dir):
-    return run_operator("html_content_extract_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="text", drop=["html"])
+    """The pages' text is in one article; the SQL takes its headings and paragraphs, the operator has to find it."""
+    return run_operator("html_content_extract_mapper", table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), field="html", output_field="text", drop=["html"])
 
 
 @query("""SELECT DISTINCT page_id, class FROM (SELECT page_id, unnest(string_split_regex(c, '\\s+')) AS class FROM (SELECT page_id, unnest(regexp_extract_all(html, '<[^<>]* class="([^"]*)"', 1)) AS c FROM pages)) WHERE class <> ''""")
 def css_extraction(spark, sf_dir):
-    found = run_operator("css_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="classes", drop=["html"])
+    found = run_operator("css_extraction_mapper", table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), field="html", output_field="classes", drop=["html"])
     return run_operator("explode", found, field="classes", exploded_cols=["class"], drop=["classes"])
 
 
 @query("SELECT page_id, regexp_extract(html, '<article.*?(<h1>.*?</h1>)', 1, 's') AS heads FROM pages")
 def dom_element_extraction(spark, sf_dir):
-    return run_operator("dom_element_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "html"), field="html", output_field="heads", css_selector="article h1", drop=["html"])
+    return run_operator("dom_element_extraction_mapper", table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), field="html", output_field="heads", css_selector="article h1", drop=["html"])
 
 
 def _treebank() -> str:
@@ -355,20 +354,20 @@ def _treebank() -> str:
 
 @query(_treebank())
 def nltk_tokenizer(spark, sf_dir):
-    made = run_operator("nltk_tokenizer_mapper", docs(spark, sf_dir), field="text", output_field="tokens", drop=["text"])
+    made = run_operator("nltk_tokenizer_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="tokens", drop=["text"])
     return made.withColumn("tokens", F.array_join("tokens", " "))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '(?s)[A-Za-z0-9]+(?:\.[0-9]+)?%?|[+#&._%-]+|\r\n|.'), lambda t: NOT regexp_matches(t, '\pP')), '|') AS tokens FROM documents""")
 def jieba_chinese_tokenizer(spark, sf_dir):
     """The documents hold no Chinese; the SQL has the rules for everything else."""
-    made = run_operator("jieba_chinese_tokenizer_mapper", docs(spark, sf_dir), field="text", output_field="tokens", drop=["text"])
+    made = run_operator("jieba_chinese_tokenizer_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="tokens", drop=["text"])
     return made.withColumn("tokens", F.array_join("tokens", "|"))
 
 
 @query()
 def language_identification(spark, sf_dir):
-    return run_operator("language_identification_mapper", docs(spark, sf_dir), field="text", output_field="language", drop=["text"])
+    return run_operator("language_identification_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="language", drop=["text"])
 
 
 ACCENTED = "éèàçêäöüßñíóú"
@@ -378,18 +377,18 @@ ACCENTED = "éèàçêäöüßñíóú"
   (length(t) - length(regexp_replace(t, '[{ACCENTED}]', '', 'g'))) / length(t) AS a FROM (SELECT doc_id, replace(text, chr(10), '') AS t FROM documents))""")
 def fasttext_model(spark, sf_dir):
     path = _resource(spark, {"ngrams": [1, 1], "bias": {"other": 0.02}, "weights": {"accented": dict.fromkeys(ACCENTED, 1.0), "other": {}}})
-    return run_operator("fasttext_model_mapper", docs(spark, sf_dir), field="text", output_field="label", prob_field="prob", model_path=path, drop=["text"])
+    return run_operator("fasttext_model_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="label", prob_field="prob", model_path=path, drop=["text"])
 
 
 @query()
 def mask_pii(spark, sf_dir):
     chosen = {"EMAIL_ADDRESS": None, "PHONE_NUMBER": {"type": "replace", "new_value": "<PHONE>"}, "CREDIT_CARD": {"type": "redact"}, "IP_ADDRESS": None}
-    return run_operator("mask_pii_mapper", docs(spark, sf_dir), field="text", output_field="masked", mask_map=chosen, drop=["text"])
+    return run_operator("mask_pii_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="masked", mask_map=chosen, drop=["text"])
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b', '<ANONYMIZED>', 'g') AS masked FROM documents")
 def mask_pii_email(spark, sf_dir):
-    return run_operator("mask_pii_mapper", docs(spark, sf_dir), field="text", output_field="masked", mask_map={"EMAIL_ADDRESS": None}, drop=["text"])
+    return run_operator("mask_pii_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="masked", mask_map={"EMAIL_ADDRESS": None}, drop=["text"])
 
 
 @query("SELECT item_id, (length(text) + 7)::INTEGER AS length FROM benchmark")

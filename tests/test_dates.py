@@ -3,6 +3,8 @@
 import re
 from datetime import datetime
 
+import duckdb
+
 from millrace.queries import QUERIES, SQL
 
 MONTHS = "January February March April May June July August September October November December".split()
@@ -22,7 +24,9 @@ def brute(text):
 def test_dates_of_all_documents(spark, tmp_path):
     texts = ["Signed on 2023-10-15.", "From March 3, 2021 to 2022-01-31, then no more", "no date, though 1234 has four digits", "on 2023-13-45 nothing happened", "no digits", ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.dates for r in QUERIES["datetime_extraction_all_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.dates for r in QUERIES["datetime_extraction_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     assert got[1] == "2021-03-03 00:00:00|2022-01-31 00:00:00"
-    assert "datetime_extraction_all_documents" not in SQL
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(SQL["datetime_extraction_documents"]).fetchall()) == got
