@@ -7,10 +7,9 @@ import json
 import math
 import os
 import re
-import time
-import urllib.request
 from bisect import bisect_left
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from typing import Any
 
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.chat_client import ChatClient, as_json, retried
 from millrace.functions.lists import read_text
 from millrace.operators.web import _DATE
 from millrace.plans.registry import operator
@@ -228,41 +228,16 @@ def mask_pii_mapper(df: DataFrame, field: str, output_field: str, mask_map: dict
     return df.withColumn(output_field, run(F.col(f"`{field}`")))
 
 
-class ChatClient:
-    """Chat completions over HTTP. Any class with ``complete(prompt) -> str`` can stand in for it."""
-
-    def __init__(self, model_name: str, api_key: str, base_url: str | None, temperature: float, max_tokens: int | None, frequency_penalty: float | None):
-        self.url = (base_url or "https://api.openai.com/v1").rstrip("/") + "/chat/completions"
-        self.key = api_key
-        self.body = {"model": model_name, "temperature": temperature, "max_tokens": max_tokens, "frequency_penalty": frequency_penalty}
-
-    def complete(self, prompt: str) -> str:
-        body = {k: v for k, v in self.body.items() if v is not None} | {"messages": [{"role": "user", "content": prompt}]}
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
-        with urllib.request.urlopen(request, timeout=120) as r:
-            return json.load(r)["choices"][0]["message"]["content"]
-
-
-def _as_json(answer: str) -> str | None:
-    """The JSON value in an answer, fenced or within prose, or None."""
-    for candidate in (answer, *re.findall(r"```(?:json)?\s*(.*?)```", answer, re.DOTALL), *re.findall(r"(\{.*\}|\[.*\])", answer, re.DOTALL)):
-        try:
-            return json.dumps(json.loads(candidate), ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
-
-
 @operator("litellm_mapper", "table")
 def litellm_mapper(
     df: DataFrame, field: str, output_field: str, model_name: str, api_key: str, prompt_template: str, base_url: str | None = None, temperature: float = 0.2, max_tokens: int | None = None,
-    max_retries: int = 3, frequency_penalty: float | None = None, return_format: str = "text", answer_flatten: bool = False, answer_schema: str | None = None, client: Any = None,
+    max_retries: int = 3, frequency_penalty: float | None = None, return_format: str = "text", answer_flatten: bool = False, answer_schema: str | None = None, client: Any = None, concurrency: int = 8,
 ) -> DataFrame:
     """The answer of a remote language model to a prompt filled in from each row.
 
     ``return_format`` json keeps the JSON found in the answer (or the answer itself). ``answer_schema`` (DDL) declares what a
     JSON answer holds; with ``answer_flatten`` its fields become columns. ``client``: a picklable function that makes a client in
-    the worker.
+    the worker. Each task has ``concurrency`` questions under way at once.
     """
     if return_format not in ("json", "text"):
         raise ValueError("return_format must be json or text")
@@ -272,22 +247,18 @@ def litellm_mapper(
         api_key = os.environ.get(m[1], "")
         if not api_key:
             raise ValueError(f"environment variable {m[1]} is not set")
-    make = client or (lambda: ChatClient(model_name, api_key, base_url, temperature, max_tokens, frequency_penalty))
+    make = client or (lambda: ChatClient(model_name, api_key, base_url, temperature, max_tokens, frequency_penalty, max_retries=0))
 
     @F.pandas_udf("string")
     def ask(rows: pd.DataFrame) -> pd.Series:
-        chat, out = make(), []
-        for row in rows.to_dict("records"):
-            for attempt in range(max_retries + 1):
-                try:
-                    answer = chat.complete(prompt_template.format(**row))
-                    break
-                except OSError:
-                    if attempt == max_retries:
-                        raise
-                    time.sleep(min(10, 4 * 2**attempt))
-            out.append(answer if return_format == "text" else _as_json(answer) or answer)
-        return pd.Series(out, dtype=object)
+        chat = make()
+
+        def answer(row: dict) -> str:
+            found = retried(lambda: chat.complete(prompt_template.format(**row)), max_retries, lambda attempt: min(10, 4 * 2**attempt))
+            return found if return_format == "text" else as_json(found) or found
+
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            return pd.Series(list(pool.map(answer, rows.to_dict("records"))), dtype=object)
 
     out = df.withColumn(output_field, ask(F.struct("*")))
     if return_format == "json" and answer_schema:

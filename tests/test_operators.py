@@ -380,3 +380,41 @@ def test_reducers(spark):
     assert [(r.char, r["cumsum"]) for r in got.orderBy("cumsum").collect()] == [("X", 37), ("Y", 38), ("😀", 39)]
     got = run(spark, "percentile_reducer", [(float(i),) for i in range(1, 101)], "value double", field="value")
     assert got.collect() == [Row(value=95.0)]
+
+
+class Answers:
+    """A client whose service is a list of answers; an exception among them is raised."""
+
+    def __new__(cls, answers, **more):
+        from millrace.functions.chat_client import ChatClient
+
+        client, client_seen = ChatClient("m", "k", wait=lambda _: 0, **more), []
+
+        def post(messages):
+            client_seen.append([dict(m) for m in messages])
+            found = answers.pop(0)
+            if isinstance(found, Exception):
+                raise found
+            return found
+
+        client._post, client.seen = post, client_seen
+        return client
+
+
+def test_chat_client():
+    import asyncio
+
+    from millrace.functions.chat_client import Memory
+
+    client, memory = Answers(["hello", 'Sure: {"a": [1, 2]}', "no json", OSError(), "again"]), Memory(3).add("system", "be brief").add("user", "hi")
+    assert client.chat(memory) == "hello"
+    assert client.chat(memory.add("user", "list"), "json") == {"a": [1, 2]}
+    assert asyncio.run(client.achat(memory.add("user", "more"), "json")) == "no json"
+    assert [m["content"] for m in memory.messages] == ["be brief", 'Sure: {"a": [1, 2]}', "more", "no json"]
+    assert [m["role"] for m in client.seen[1]] == ["system", "user", "assistant", "user"]
+    assert asyncio.run(client.acomplete("x")) == "again"
+    assert client.seen[-1] == [{"role": "user", "content": "x"}]
+    with pytest.raises(OSError):
+        Answers([OSError(), OSError()], max_retries=1).complete("x")
+    with pytest.raises(ValueError):
+        Memory().add("nobody", "x")
