@@ -13,7 +13,7 @@ Queries meet rows in blocks: a block of vectors is sent once for each block of q
 
 Defined results: vectors null or with null or non-finite components, and rows with a null id, take no part; shorter
 vectors count as padded with zeros; a row repeated with its id is one candidate, and an id with two vectors is a
-candidate by each of them; a query never finds its own id; other columns are ignored; an empty table gives an empty one.
+candidate by each of them; components and scores beyond a long count as the greatest or least long, all others are exact; a query never finds its own id; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,22 +36,46 @@ def whole_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.withColumn("vec", trimmed).withColumn("cls", F.unhex(F.sha2(F.array_join("vec", ",").cast("binary"), 256)))
 
 
+#: Scores are given as longs; those beyond count as the greatest or the least of these.
+MOST = 2**63 - 1
+
+
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Rows padded to ``dims``; doubles, which hold these products exactly below 2^53."""
-    out = np.zeros((len(column), dims))
+    """Rows padded to ``dims``."""
+    out = np.zeros((len(column), dims), np.int64)
     flat = column.combine_chunks()
     sizes = np.diff(np.asarray(flat.offsets))
     out[np.arange(dims) < sizes[:, None]] = np.asarray(flat.flatten())
     return out
 
 
-def _parts(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Local scores by slice."""
-    limit = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], 1)
-    if limit >= 2.0**53:
-        raise OverflowError("inner products of these vectors exceed 2^53")
+def _sizes(m: np.ndarray) -> np.ndarray:
+    """The greatest absolute value of each row, as a double no smaller than it."""
+    return np.nextafter(np.abs(m.astype(np.float64)).max(axis=1, initial=0), np.inf)
+
+
+def _beyond(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Scores of vectors whose products may pass 2^63: whole numbers of any length where they do, brought into the longs."""
+    line = np.sqrt(2.0**62 / max(q.shape[1], 1))
+    large_q, large_c = _sizes(q) >= line, _sizes(c) >= line
+    out = np.zeros((len(q), len(c)), np.int64)
+    out[np.ix_(~large_q, ~large_c)] = q[~large_q] @ c[~large_c].T
+    for rows, columns in ((large_q, np.ones(len(c), bool)), (~large_q, large_c)):
+        if rows.any() and columns.any():
+            exact = q[rows].astype(object) @ c[columns].T.astype(object)
+            out[np.ix_(rows, columns)] = np.clip(exact, -MOST, MOST).astype(np.int64)
+    return out
+
+
+def _scorer(q: np.ndarray, c: np.ndarray, slices: int):
+    """A function that gives the local scores of queries from..to by slice, exactly: by doubles below 2^53, by longs below 2^63, else as one slice."""
+    reach = _sizes(q).max(initial=0) * _sizes(c).max(initial=0) * max(q.shape[1], 1)
+    if reach >= 2.0**62:
+        return lambda a, z: [_beyond(q[a:z], c)]
+    if reach < 2.0**52:
+        q, c = q.astype(np.float64), c.astype(np.float64)
     cuts = np.linspace(0, q.shape[1], slices + 1).astype(int)
-    return [q[:, a:z] @ c[:, a:z].T for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    return lambda a, z: [q[a:z, i:j] @ c[:, i:j].T for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _search(k: int, slices: int, dims: int):
@@ -62,14 +86,14 @@ def _search(k: int, slices: int, dims: int):
         names, ids = corpus.column("cls"), np.asarray(corpus.column("least"))
         c, q = _matrix(corpus.column("vec"), dims), _matrix(queries.column("vec"), dims)
         cutoffs = np.asarray(queries.column("cutoff")) if "cutoff" in queries.column_names else None
-        step = max(1, 2_000_000 // max(len(c), 1))
+        step, local = max(1, 2_000_000 // max(len(c), 1)), _scorer(q, c, slices)
         for at in range(0, len(q) if len(c) else 0, step):
-            parts = _parts(q[at : at + step], c, slices)
+            parts = local(at, at + step)
             for i in range(len(parts[0])):
                 if cutoffs is None:
                     found = np.unique(np.concatenate([np.argpartition(-p[i], min(k, len(c)) - 1)[:k] for p in parts]))
                 else:
-                    line = np.floor(cutoffs[at + i] / slices)
+                    line = int(cutoffs[at + i]) // len(parts)
                     found = np.flatnonzero(np.logical_or.reduce([p[i] >= line for p in parts]))
                 total = sum(p[i][found] for p in parts)
                 if cutoffs is not None:
@@ -77,12 +101,12 @@ def _search(k: int, slices: int, dims: int):
                 best = np.lexsort((ids[found], -total))[:k]
                 out["query"] += [at + i] * len(best)
                 out["cls"] += found[best].tolist()
-                out["score"] += total[best].tolist()
+                out["score"] += total[best].astype(np.int64).tolist()
                 out["least"] += ids[found[best]].tolist()
         return pa.table({
             "query": queries.column("cls").take(pa.array(out["query"], pa.int64())),
             "cls": names.take(pa.array(out["cls"], pa.int64())),
-            "score": pa.array(np.array(out["score"]).astype(np.int64)),
+            "score": pa.array(np.array(out["score"], np.int64)),
             "least": pa.array(out["least"], pa.int64()),
         })
 
@@ -115,7 +139,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, slices: int = 2, blo
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     gathered = against(wanted).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need)
     cutoffs = gathered.groupBy("query").agg(F.when(F.count("*") == need, F.min("score")).alias("cutoff"))
-    lowest = F.lit(-(2**53)).cast("long")
+    lowest = F.lit(-MOST).cast("long")
     told = durable(wanted.join(cutoffs, F.col("cls") == F.col("query"), "left").select("cls", "vec", F.coalesce("cutoff", lowest).alias("cutoff")))
     found = against(told, "cutoff").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= need)
     listed = found.join(corpus.select("cls", "ids"), "cls").select("query", "score", F.explode("ids").alias("vec_id"))
