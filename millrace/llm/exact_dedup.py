@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import binary_fuse
-from millrace.llm.rows import row_tag, staying
+from millrace.llm.rows import documents, row_tag, staying
 from millrace.plans.durable import broadcast_if_small, durable
 
 KEY = ["sha", "norm_len"]
@@ -58,6 +58,7 @@ class Snapshot:
 
     def __init__(self, rows: DataFrame, shard_keys: int = 200_000):
         self.classes = durable(classes(rows))
+        self.shard_keys = shard_keys
         self.shards = max(1, -(-self.classes.count() // shard_keys))
 
         def build(key, table):
@@ -68,7 +69,11 @@ class Snapshot:
         self.filters = durable(keys.groupBy("shard").applyInArrow(build, "shard int, filter binary"))
 
     def screen(self, incoming: DataFrame) -> DataFrame:
-        """``incoming`` classes with ``maybe``: false where the digest is surely not in the snapshot."""
+        """``incoming`` classes with ``maybe``: false where the digest is surely not in the snapshot.
+
+        Where a shard meets more than ``shard_keys`` digests, these are dealt to several tasks, each with a copy of its filter.
+        """
+        parts = max(1, -(-incoming.count() // (self.shards * self.shard_keys)))
 
         def probe(key, new, filters):
             hit = np.zeros(new.num_rows, bool)
@@ -76,8 +81,10 @@ class Snapshot:
                 hit |= binary_fuse.maybe_contains(blob, np.asarray(new.column("k")).astype(np.uint64))
             return pa.table({"sha": new.column("sha"), "norm_len": new.column("norm_len"), "maybe": pa.array(hit)})
 
-        keyed = _key64(incoming, self.shards).select("shard", "k", *KEY)
-        flags = keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "sha binary, norm_len int, maybe boolean")
+        part = F.pmod(F.shiftright("k", 40), F.lit(parts)).cast("int").alias("part")
+        keyed = _key64(incoming, self.shards).select("shard", part, "k", *KEY)
+        copies = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        flags = keyed.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, "sha binary, norm_len int, maybe boolean")
         return incoming.join(flags, KEY)
 
 
@@ -137,7 +144,7 @@ def first_batch(docs: DataFrame) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, taken in as two batches: the first becomes the snapshot, the second is screened against it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return exact_dedup(docs.filter(first_batch(docs)), docs.filter(~first_batch(docs))).drop("tag", "stays")
 
 

@@ -1,11 +1,16 @@
-"""Taking a verdict on rows back to the rows."""
+"""Reading documents, and taking a verdict on rows back to the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.durable import broadcast_if_small, durable
+from millrace.plans.spread import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def row_tag() -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import binary_fuse
-from millrace.llm.exact_dedup import SQL, drop_copies, exact_dedup, query
+from millrace.llm.exact_dedup import SQL, Snapshot, classes, digests, drop_copies, exact_dedup, query
 
 
 def brute(rows):
@@ -55,3 +55,14 @@ def test_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(map(tuple, query(spark, sf).collect())) == sorted(con.execute(SQL).fetchall())
+
+
+def test_screen_is_dealt_to_many_tasks(spark):
+    """However small the snapshot, a task screens no more digests than a shard is meant to have, some more by chance."""
+    rows = lambda a, z: spark.createDataFrame([(i, f"text {i}") for i in range(a, z)], "doc_id long, text string")
+    for known, want in ((rows(0, 0), 0), (rows(0, 300), 300)):
+        incoming = classes(digests(rows(0, 4000)))
+        screened = Snapshot(digests(known), 100).screen(incoming)
+        assert screened.count() == 4000 and screened.filter("maybe").count() in range(want, want + 10)
+        plan = screened._jdf.queryExecution().toString()
+        assert "part" in plan
