@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.cut import take_until
+from millrace.llm.rows import documents
 from millrace.plans.durable import broadcast_if_small, durable
 
 SLICE = 1000
@@ -115,5 +116,5 @@ def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return resample(docs, labelled_good(docs, labels))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.cut import take_until
-from millrace.llm.rows import row_tag
+from millrace.llm.rows import documents, row_tag
 from millrace.plans.durable import broadcast_if_small, durable
 
 BUCKETS = 4096
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: int = 11, most: int = 3, weights: tuple[int, ...]
         left = rows.groupBy("source").agg(F.sum((F.col("p") * F.col("size")).cast("decimal(38,6)")).cast("double").alias("budget"))
         left = broadcast_if_small(durable(left.withColumnRenamed("source", "s2")), 100_000)
         rows = rows.join(left, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    picked = take_until(rows, "source", ["rank", F.col("doc_id").asc_nulls_last(), "size"], "bucket", "size", "budget")
+    picked = take_until(rows, "source", [F.col("rank"), F.col("doc_id").asc_nulls_last(), F.col("size")], "bucket", "size", "budget")
     extra = (F.col("picked") & (F.col("p") > 0)).cast("long")
     return picked.select("doc_id", "source", "tag", "size", "source_size", "target", (F.col("sure") + extra).alias("copies"))
 
@@ -94,7 +94,7 @@ def mean_copies() -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, importance, language_id, mix, topk
+from millrace.llm import chat, cut, importance, language_id, mix, topk
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -39,6 +39,76 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 2^53 and 2^63 are ranked by their true values; scores beyond a long are given as the greatest or least long."""
+    rng = np.random.default_rng(1)
+    for scale in (1e6, 1e8, 1e13, 1e16):
+        rows = [(i, [float(x) for x in rng.integers(-4, 5, 4) / 2 * (scale if i % 3 == 0 else 1)]) for i in range(60)]
+        rows += [(100 + i, [scale, scale + i * max(1, scale / 2**50), 1.0, 0.0]) for i in range(4)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        most = 2**63 - 1
+        vec = {i: [min(max(math.floor(256 * x), -(2**63)), most) for x in v] for i, v in rows}
+        want = []
+        for q in (i for i in vec if i % 10 == 0):
+            scored = sorted((-min(max(sum(a * b for a, b in zip(vec[q], w, strict=True)), -most), most), i) for i, w in vec.items() if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+        for more in ({}, {"block": 8, "query_block": 2, "slices": 3}):
+            got = topk.top_k(df, df.filter("vec_id % 10 = 0"), **more)
+            assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want), scale
+
+
+def brute_until(rows, budget):
+    """Sizes of (order, size) taken up to a budget."""
+    out, at = [], 0
+    for key, size in sorted(rows):
+        out.append((key, size, 2 * at + size <= 2 * budget))
+        at += size
+    return sorted(out)
+
+
+def test_cut_spreads_what_it_sorts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, int(k), int(s), b) for g, b in (("even", 0), ("odd", 700), ("all", 10**6), (None, 1500)) for k, s in zip(rng.integers(0, 40, 500), rng.integers(1, 6, 500), strict=True)]
+    rows += [("same", 5, 1, 2000) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g string, k long, size long, budget long").withColumn("bucket", F.floor(F.col("k") / 4))
+    got = cut.take_until(df, "g", [F.col("k"), F.col("size")], "bucket", "size", "budget").collect()
+    for g in ("even", "odd", "all", None, "same"):
+        mine = [(r.k, r.size) for r in got if r.g == g]
+        want = brute_until([(k, s) for x, k, s, _ in rows if x == g], next(b for x, *_, b in rows if x == g))
+        assert sorted((r.k, r.size, r.picked) for r in got if r.g == g) == sorted(((k, s, p) for k, s, p in want)), (g, len(mine))
+    cuts = {r.cut_group: r for r in cut.cuts(df, "g", "bucket", "size", "budget").collect()}
+    assert not cuts["even"].split and cuts["odd"].split and "all" not in cuts
+    # one bucket of very many equal rows is dealt to several tasks
+    same = df.filter("g = 'same'")
+    parts = cut._running(same, "g", [F.col("k"), F.col("size")], "size")
+    assert sorted(r.upto_ for r in parts.select("upto_").collect()) == list(range(1, 5001))
+    assert same.withColumn("tie_", F.rand(7)).repartitionByRange(4, "g", "k", "tie_").groupBy(F.spark_partition_id().alias("p")).count().filter("count < 2500").count() == 4
+
+
+def test_nothing_is_sorted_where_targets_are_whole(spark, monkeypatch):
+    """A single source, and one stopped at three times its size, want whole copies of every row: no bucket is split."""
+    sorted_rows = []
+    running = cut._running
+
+    def counted(rows, *more):
+        sorted_rows.append(rows.count())
+        return running(rows, *more)
+
+    monkeypatch.setattr(cut, "_running", counted)
+    one = spark.createDataFrame([(i, "some words here", "only") for i in range(2000)], "doc_id long, text string, source string")
+    assert {r.copies for r in mix.mix(one).collect()} == {1} and sorted_rows == [0]
+    two = one.withColumn("source", F.when(F.col("doc_id") < 40, "b small").otherwise("a large"))
+    got = mix.mix(two).collect()
+    assert {r.copies for r in got if r.source == "b small"} == {3} and sorted_rows[1] < 40
+    # null ids share their number, and so a bucket, which is sorted in ranges
+    none = one.withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.when(F.rand(1) < 0.5, "a").otherwise("b"))
+    got = mix.mix(none).collect()
+    for s in ("a", "b"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 1.5 + 1e-6
+    assert sorted_rows[2] > 1900
+
+
 @pytest.mark.parametrize("module", [topk, mix, chat])
 def test_query_matches_sql(spark, module):
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
