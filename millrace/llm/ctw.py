@@ -35,14 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from millrace.llm.rows import documents
 from millrace.plans.durable import discard, durable
 
 #: Bytes that UTF-8 never has: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 #: Bytes of text that are worked on at once, and that are packed together.
 SLICE, PACK = 512 << 10, 4 << 20
-#: Entries that may be broadcast: some 16 MB, whatever the corpus.
-HOT = 1 << 20
+#: Entries that may be broadcast: some 8 MB as arrays, 50 MB as a hash table, whatever the corpus.
+HOT = 1 << 19
 #: A pair of nearest bytes is split if it has more grams than the first and than this part of all.
 PAIR_GRAMS, SPLIT_PAIRS = 10_000, 1000
 #: Grams that are worked on together, if their pairs are small.
@@ -392,4 +393,4 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 24 << 20, p
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_corpus(documents(spark, sf_dir))
