@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.rows import row_tag
+from millrace.llm.rows import documents, row_tag
 from millrace.plans.components import connected_components
 from millrace.plans.durable import broadcast_if_small, durable
 
@@ -148,5 +148,5 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFra
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = simhash_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

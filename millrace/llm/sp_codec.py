@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.rows import documents
 from millrace.llm.word_cache import WordCache
 
 MARK = "▁"
@@ -95,7 +96,7 @@ def sp_encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[s
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = sp_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    coded = sp_encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
