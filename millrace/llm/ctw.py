@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,7 +148,7 @@ def _chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
         for at in range(0, len(keys), 100_000):
             k = keys[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), name)), pa.array(k), pa.array(counts[at : at + 100_000]), pa.nulls(len(k), pa.binary())], schema=_CHUNK)
-        ends = np.cumsum(pa.compute.binary_length(table.column(2)).to_numpy()) // PACK
+        ends = np.cumsum(pc.binary_length(table.column(2)).to_numpy()) // PACK
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), table.num_rows]
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             out = pa.BufferOutputStream()
@@ -159,7 +160,7 @@ def _chunks(docs: DataFrame, depth: int, chunk_bytes: int) -> DataFrame:
         held, size = [], 0
         for whole in batches:
             at = 0
-            lengths = pa.compute.binary_length(whole.column(2)).to_numpy(zero_copy_only=False)
+            lengths = pc.binary_length(whole.column(2)).to_numpy(zero_copy_only=False)
             for i, n in enumerate(lengths.tolist()):
                 size += n
                 if size >= chunk_bytes:
@@ -363,7 +364,7 @@ def score_corpus(docs: DataFrame, depth: int = 5, chunk_bytes: int = 24 << 20, p
                 n_tokens += np.bincount(own, minlength=n_rows)
                 n_known += np.bincount(own, counts > 0, n_rows).astype(np.int64)
                 base += np.bincount(own, np.log10(counts + 0.1), n_rows)
-            size = pa.compute.binary_length(table.column(2))
+            size = pc.binary_length(table.column(2))
             columns = [table.column(0), table.column(1), *map(pa.array, (n_tokens, n_known, base, score)), size]
             tables.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
         return pa.concat_tables(tables) if tables else schema.empty_table()

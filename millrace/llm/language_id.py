@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def _processor(model: str):
 def _slices(batches, column: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``SLICE_ROWS`` rows and about ``SLICE`` bytes of the texts in ``column``, one row at least."""
     for whole in batches:
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < whole.num_rows:
             held = ends[at - 1] if at else 0
