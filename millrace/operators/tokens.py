@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.lists import read_text
-from millrace.plans.durable import broadcast_if_small, durable
+from millrace.plans.durable import durable, fits
 from millrace.plans.registry import operator
 
 #: The Penn Treebank tokenizer's published substitutions, in their order, as (pattern, replacement).
@@ -103,23 +104,56 @@ def jieba_chinese_tokenizer_mapper(df: DataFrame, col: Column, punctuation_filte
     return tokens(col)
 
 
+def _counts(tokens) -> list[dict]:
+    """The distinct tokens in order of first occurrence."""
+    first: dict = {}
+    for i, t in enumerate(tokens):
+        first.setdefault(t, i)
+    counts = Counter(tokens)
+    return [{"token": t, "tf": counts[t], "pos": i} for t, i in first.items()]
+
+
+def _counted(col: Column) -> Column:
+    @F.pandas_udf("array<struct<token:string,tf:bigint,pos:int>>")
+    def counted(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else _counts(x.tolist()))
+
+    return counted(col)
+
+
+def _with_frequencies(df: DataFrame, col: Column, known: DataFrame) -> DataFrame:
+    """``df`` with ``list_`` of (token, tf, pos, df). Few distinct tokens: sent to the workers, so no row is shuffled; else joined."""
+    if not fits(known):
+        rows = durable(df.withColumn("row_", F.monotonically_increasing_id()))
+        each = rows.select("row_", F.explode(_counted(col)).alias("x")).select("row_", "x.*")
+        met = each.join(known.withColumnRenamed("token", "token_"), F.col("token").eqNullSafe(F.col("token_")))
+        lists = met.groupBy("row_").agg(F.collect_list(F.struct("token", "tf", "pos", "df")).alias("list_"))
+        return rows.join(lists, "row_", "left").drop("row_")
+    table = known.toArrow()
+    sent = df.sparkSession.sparkContext.broadcast(dict(zip(table.column("token").to_pylist(), table.column("df").to_pylist(), strict=True)))
+
+    @F.pandas_udf("array<struct<token:string,tf:bigint,pos:int,df:bigint>>")
+    def looked_up(lists: pd.Series) -> pd.Series:
+        frequency = sent.value
+        return lists.map(lambda x: None if x is None else [{**y, "df": frequency[y["token"]]} for y in x])
+
+    return df.withColumn("list_", looked_up(_counted(col)))
+
+
 @operator("tfidf_mapper", "table")
 def tfidf_mapper(df: DataFrame, field: str, output_field: str) -> DataFrame:
     """``array<struct<token, tf, df, tfidf>>``, by tfidf falling, then by first occurrence; null arrays give empty ones.
 
-    tfidf = round(tf * (ln(N / (df + 1)) + 1), 4). Document frequencies are joined, broadcast only if they are few.
+    tfidf = round(tf * (ln(N / (df + 1)) + 1), 4). Document frequencies are counted from each row's distinct tokens, combined map-side.
     """
-    rows = durable(df.withColumn("row_", F.monotonically_increasing_id()))
-    n = rows.count()
-    each = rows.select("row_", F.posexplode(F.col(f"`{field}`")).alias("pos_", "token"))
-    tf = each.groupBy("row_", "token").agg(F.count("*").alias("tf"), F.min("pos_").alias("pos_"))
-    tf = durable(tf)
-    known = broadcast_if_small(durable(tf.groupBy("token").agg(F.count("*").alias("df")).withColumnRenamed("token", "token_")), 200_000)
-    score = F.bround(F.col("tf") * (F.log(F.lit(float(n)) / (F.col("df") + 1)) + 1), 4)
-    scored = tf.join(known, F.col("token").eqNullSafe(F.col("token_"))).withColumn("tfidf", score)
-    lists = scored.groupBy("row_").agg(F.sort_array(F.collect_list(F.struct((-F.col("tfidf")).alias("by"), "pos_", "token", "tf", "df", "tfidf"))).alias("list_"))
-    made = F.transform(F.coalesce("list_", F.array().cast(lists.schema["list_"].dataType)), lambda x: F.struct(x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df"), x["tfidf"].alias("tfidf")))
-    return rows.join(lists, "row_", "left").withColumn(output_field, made).drop("row_", "list_")
+    col = F.col(f"`{field}`")
+    n = df.count()
+    known = durable(df.select(F.explode(_counted(col)).alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.count("*").alias("df")))
+    score = lambda x: F.bround(x["tf"] * (F.log(F.lit(float(n)) / (x["df"] + 1)) + 1), 4)
+    scored = F.transform("list_", lambda x: F.struct((-score(x)).alias("by"), x["pos"].alias("pos"), x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df"), score(x).alias("tfidf")))
+    made = F.transform(F.sort_array(scored), lambda x: F.struct(x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df"), x["tfidf"].alias("tfidf")))
+    empty = F.array().cast("array<struct<token:string,tf:bigint,df:bigint,tfidf:double>>")
+    return _with_frequencies(df, col, known).withColumn(output_field, F.coalesce(made, empty)).drop("list_")
 
 
 #: Traditional characters and, at the same place, the simplified ones.

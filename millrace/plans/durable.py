@@ -97,11 +97,16 @@ def _bytes(name: str, kind: T.DataType) -> Column:
     return 8 + F.coalesce(size, F.lit(0)).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` bytes together, else as it is.
+def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows of ``max_bytes`` bytes together.
 
     ``df`` should be a durable or otherwise cheap table: it is counted, and the count stops at the bound.
     """
     size = sum((_bytes(f.name, f.dataType) for f in df.schema), F.lit(0).cast("long"))
     n, held = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
-    return F.broadcast(df) if n <= max_rows and (held or 0) <= max_bytes else df
+    return n <= max_rows and (held or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it ``fits``, else as it is."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df

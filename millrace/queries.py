@@ -15,7 +15,7 @@ import millrace.operators  # noqa: F401
 from millrace.operators.tokens import SIMPLIFIED, TRADITIONAL, TREEBANK
 from millrace.plans.durable import shared_dir
 from millrace.plans.pipeline import Pipeline, run_operator
-from millrace.streaming import over_stream
+from millrace.streaming import dedup_stream, over_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,6 +91,15 @@ def numeric_filter(spark, sf_dir):
     return run_operator("numeric_filter", items, field="l_discount", operator="ge", threshold=0.05, select=["l_orderkey", "l_linenumber"])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity < 17 AS lt, l_quantity <= 17 AS le, l_quantity > 17 AS gt, l_quantity >= 17 AS ge, l_quantity = 17 AS eq FROM lineitem")
+def numeric_comparisons(spark, sf_dir):
+    """Every comparison as a tag."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    for name in ("lt", "le", "gt", "ge", "eq"):
+        items = run_operator("numeric_filter", items, field="l_quantity", operator=name, threshold=17.0, mode="tag", tag_field=name)
+    return items.drop("l_quantity")
+
+
 @query("SELECT doc_id FROM documents WHERE contains(text, ' the ')")
 def substring_contain_filter(spark, sf_dir):
     return run_operator("substring_contain_filter", docs(spark, sf_dir), field="text", substring=" the ", select=["doc_id"])
@@ -297,6 +306,15 @@ def url_component_extraction(spark, sf_dir):
     return run_operator("url_component_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "url"), field="url", drop=["url"])
 
 
+@query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS origin, regexp_extract(url, '#(.*)$', 1) AS fragment,
+  array_to_string(list_sort(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), '&') AS args FROM pages""")
+def url_origin_and_args(spark, sf_dir):
+    """The other components; the arguments are written as pairs again."""
+    made = run_operator("url_component_extraction_mapper", table(spark, sf_dir, "pages").select("page_id", "url"), field="url", required_components=["origin", "fragment", "args"], drop=["url"])
+    pairs = F.transform(F.map_entries(F.from_json("args", "map<string,string>")), lambda kv: F.concat(kv["key"], F.lit("="), kv["value"]))
+    return made.withColumn("args", F.array_join(F.array_sort(pairs), "&"))
+
+
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) ||
   coalesce('?' || array_to_string(list_sort(string_split(nullif(regexp_extract(url, '\?([^#]*)', 1), ''), '&')), '&'), '') AS url FROM pages""")
 def url_normalization(spark, sf_dir):
@@ -429,6 +447,27 @@ def written_and_read(spark, sf_dir):
     return run_operator("hive_reader", spark=spark, table_name=name)
 
 
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'new ' ELSE '' END || n_name AS n_name, n_regionkey FROM nation")
+def partitions_overwritten(spark, sf_dir):
+    """A managed table by regions, of which one is written anew by a dynamic overwrite."""
+    name, nations = f"millrace_{uuid.uuid4().hex[:12]}", table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    run_operator("hive_table_writer", nations, table_name=name, save_mode="overwrite", partition_by=["n_regionkey"])
+    new = nations.filter("n_regionkey = 1").withColumn("n_name", F.concat(F.lit("new "), "n_name"))
+    run_operator("hive_table_writer", new, table_name=name, save_mode="overwrite", partition_by=["n_regionkey"], dynamic_partition_overwrite=True)
+    return run_operator("hive_reader", spark=spark, table_name=name)
+
+
+@query("SELECT DISTINCT sha256(user_id::VARCHAR || ':' || event_type) AS gid FROM events")
+def stream_deduplicator(spark, sf_dir):
+    """Exact duplicates over a stream of the events; which row of a class is first depends on the stream, its class does not."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    folder = f"{shared_dir(spark)}/millrace-stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "user_id", "event_type").alias("kind"))
+    out = dedup_stream(stream, "kind", "ts", "3650 days")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("gid")
+
+
 @query("SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
 def whole_files(spark, sf_dir):
     """A file for each nation, read back whole."""
@@ -440,6 +479,16 @@ def whole_files(spark, sf_dir):
     return read.select(line.alias("x")).select(F.split_part("x", F.lit("|"), F.lit(1)).alias("key"), F.split_part("x", F.lit("|"), F.lit(2)).alias("name"))
 
 
+@query("SELECT url, html AS content FROM pages")
+def warc_responses(spark, sf_dir):
+    """Pages as HTTP responses in compressed WARC files."""
+    folder = f"{shared_dir(spark)}/millrace-warc-{uuid.uuid4().hex}"
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), "html")
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), "url", F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(http).cast("string"), F.lit("\r\n\r\n"))
+    table(spark, sf_dir, "pages").select(F.concat(head, http, F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    return run_operator("warc_wet_reader", spark=spark, input_path=f"{folder}/part-*", types=["response"])
+
+
 @query("SELECT url, html AS content FROM pages")
 def warc_wet_reader(spark, sf_dir):
     """Pages written as WARC records and read back."""

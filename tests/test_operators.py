@@ -318,10 +318,19 @@ def test_resources_by_uri(spark, tmp_path):
         run(spark, "sensitive_doc_filter", [("x",)], "c string", field="c", sensitive_keyword_paths=[f"file:{tmp_path}/none"])
 
 
-def test_tfidf(spark):
+def test_tfidf(spark, monkeypatch):
+    from millrace.operators import tokens
+
     rows = [(1, ["ok", "no", "ok"]), (2, ["x"]), (3, None), (4, [])]
     got = {r.id: [tuple(x) for x in r.out] for r in run(spark, "tfidf_mapper", rows, "id int, tokens array<string>", field="tokens", output_field="out").collect()}
-    assert got == {1: [("ok", 2, 1, 3.3863), ("no", 1, 1, 1.6931)], 2: [("x", 1, 1, 1.6931)], 3: [], 4: []}
+    want = {1: [("ok", 2, 1, 3.3863), ("no", 1, 1, 1.6931)], 2: [("x", 1, 1, 1.6931)], 3: [], 4: []}
+    assert got == want
+    # the same where the distinct tokens are too many to send to the workers
+    monkeypatch.setattr(tokens, "fits", lambda df: False)
+    joined = run(spark, "tfidf_mapper", rows, "id int, tokens array<string>", field="tokens", output_field="out")
+    assert joined.columns == ["id", "tokens", "out"] and {r.id: [tuple(x) for x in r.out] for r in joined.collect()} == want
+    odd = run(spark, "tfidf_mapper", [(1, [None, "a", None]), (2, ["a"])], "id int, tokens array<string>", field="tokens", output_field="out")
+    assert {r.id: sorted(str(x.token) for x in r.out) for r in odd.collect()} == {1: ["None", "a"], 2: ["a"]}
 
 
 def test_languages(spark, tmp_path):
@@ -347,6 +356,24 @@ def test_mask_pii(spark):
             mapped(spark, "mask_pii_mapper", texts, mask_map=bad)
 
 
+def test_mask_pii_leaves_nothing(spark):
+    """On all documents of a table: what plain patterns find in a text is gone from the masked one, and nothing but that."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    marks = {"EMAIL_ADDRESS": "\u0001", "IP_ADDRESS": "\u0002", "CREDIT_CARD": "\u0003"}
+    masked = run_operator("mask_pii_mapper", docs, field="text", output_field="masked", mask_map={k: {"type": "replace", "new_value": v} for k, v in marks.items()}).collect()
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    plain = re.compile(r"([\w.%+-]+@[\w-]+(?:\.[\w-]+)+)|((?:[0-9]{1,3}\.){3}[0-9]{1,3})|(?<![0-9-])([0-9]{4}([ -]?)[0-9]{4}\4[0-9]{4}\4[0-9]{4})(?![0-9-])", re.ASCII)
+    found = 0
+    for r in masked:
+        want = lambda m: marks["EMAIL_ADDRESS"] if m[1] else marks["IP_ADDRESS"] if m[2] else marks["CREDIT_CARD"] if luhn(re.sub("[^0-9]", "", m[0])) else m[0]
+        shown = plain.sub(want, r.text)
+        found += shown != r.text
+        assert r.masked == shown, r.doc_id
+    assert found > 20
+
+
 def test_remote_model(spark, monkeypatch):
     class Echo:
         def complete(self, prompt):

@@ -204,3 +204,20 @@ def test_broadcasts_are_bounded_in_bytes(spark):
     ids, texts = spark.range(1000), spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t"), F.array(F.lit("a")).alias("a"))
     assert hinted(ids, 1000) and not hinted(ids, 999) and not hinted(ids, 1000, 7999)
     assert hinted(texts, 1000, 1_200_000) and not hinted(texts, 1000, 1_000_000) and hinted(ids.limit(0), 1)
+
+
+def test_spread(spark, tmp_path):
+    """A file of one row group is dealt to all cores, with selections and filters still at the scan; larger inputs and those of many files stay."""
+    from millrace.plans.spread import spread
+
+    spark.range(1000).select("id", (F.col("id") * 2).alias("b"), F.lit("x").alias("c")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(1000).repartition(9).write.parquet(f"{tmp_path}/many")
+    one = run_operator("regular_path_reader", spark=spark, input_path=f"{tmp_path}/one", format="parquet", spread=True)
+    assert one.rdd.getNumPartitions() == 4 and one.count() == 1000
+    plan = one.filter("b > 10").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" in plan and "GreaterThan(b,10)" in plan and "ReadSchema: struct<id:bigint,b:bigint>" in plan
+    table = spark.read.parquet(f"{tmp_path}/one")
+    assert spread(table, 10) is table
+    table = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(table) is table
+    assert spread(spark.read.parquet(f"{tmp_path}/one").limit(0)).collect() == []
