@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.chat_client import ChatClient, as_json, retried
 from millrace.functions.lists import read_text
+from millrace.functions.names import NRP, PERSON, place_names, places
 from millrace.operators.web import _DATE
 from millrace.plans.registry import operator
 
@@ -69,12 +70,6 @@ def _label_and_prob(df: DataFrame, field: str, output_field: str, prob_field: st
     return made.withColumn(output_field, F.col("made_.label")).withColumn(prob_field, F.col("made_.prob")).drop("made_")
 
 
-@operator("language_identification_mapper", "table")
-def language_identification_mapper(df: DataFrame, field: str, output_field: str, prob_field: str = "language_prob", label_prefix: str = "__label__") -> DataFrame:
-    """Language and its probability from scripts, frequent words and letters; null gives nulls."""
-    return _label_and_prob(df, field, output_field, prob_field, language_of)
-
-
 @lru_cache(2)
 def _fasttext(path: str):
     try:
@@ -104,24 +99,34 @@ def _classifier(model: str):
     return predict
 
 
+def _predictor(df: DataFrame, model_path: str, label_prefix: str):
+    """A function for the workers; a JSON model is read here and sent to them."""
+    binary = model_path.endswith((".bin", ".ftz"))
+    sent = None if binary else df.sparkSession.sparkContext.broadcast(read_text(model_path))
+
+    def predict(t):
+        label, prob = (_fasttext(model_path) if binary else _classifier(sent.value))(t.replace("\n", ""))
+        return label.removeprefix(label_prefix), prob
+
+    return predict
+
+
+@operator("language_identification_mapper", "table")
+def language_identification_mapper(df: DataFrame, field: str, output_field: str, prob_field: str = "language_prob", label_prefix: str = "__label__", model_path: str | None = None) -> DataFrame:
+    """Language and its probability; null gives nulls. By ``model_path``, as in ``fasttext_model_mapper``, or else from scripts, frequent words and letters."""
+    return _label_and_prob(df, field, output_field, prob_field, _predictor(df, model_path, label_prefix) if model_path else language_of)
+
+
 @operator("fasttext_model_mapper", "table")
 def fasttext_model_mapper(df: DataFrame, field: str, output_field: str, model_path: str, prob_field: str, label_prefix: str = "__label__") -> DataFrame:
     """The first label of a classifier and its probability; null gives nulls.
 
     ``model_path``: a fastText ``.bin`` or ``.ftz`` where that library is installed, at that path on the workers or sent by ``addFile``; else a JSON
-    model, which is read on the driver and sent to the workers. Either is loaded once in a worker.
+    model, such as ``fit_label_model`` makes. Either is loaded once in a worker.
     """
     if not isinstance(df.schema[field].dataType, T.StringType):
         raise ValueError(f"{field} must be a string column")
-
-    binary = model_path.endswith((".bin", ".ftz"))
-    sent = None if binary else df.sparkSession.sparkContext.broadcast(read_text(model_path))
-
-    def predict(t):
-        label, prob = (_fasttext(model_path) if binary else _classifier(sent.value))(t.replace("\n", ""))
-        return label.removeprefix(label_prefix), prob
-
-    return _label_and_prob(df, field, output_field, prob_field, predict)
+    return _label_and_prob(df, field, output_field, prob_field, _predictor(df, model_path, label_prefix))
 
 
 #: Chinese telephone and identity numbers, which need a character on both sides.
@@ -166,7 +171,9 @@ ENTITIES: dict[str, tuple[float, re.Pattern, Any]] = {
     "US_DRIVER_LICENSE": (0.3, re.compile(r"\b[A-Z]\d{7}\b"), None),
     "US_BANK_NUMBER": (0.1, re.compile(r"\b\d{8,17}\b"), None),
 }
-NEEDS_MODEL = {"PERSON", "LOCATION", "NRP"}
+#: By rules and lists (``functions/names.py``): what follows a title or an introduction, countries and cities, nationalities and faiths.
+ENTITIES |= {"PERSON": (0.85, PERSON, lambda name: name[0].isupper()), "NRP": (0.85, NRP, None)}
+PLACE = "LOCATION"
 
 
 def _written(found: str, entity: str, config: dict | None) -> str:
@@ -185,12 +192,14 @@ def _written(found: str, entity: str, config: dict | None) -> str:
     return found[: len(found) - n] + c * n if config.get("from_end", False) else c * n + found[n:]
 
 
-def mask(text: str, mask_map: dict[str, dict | None]) -> str:
+def mask(text: str, mask_map: dict[str, dict | None], place_names: tuple[str, ...] = ()) -> str:
     """Detects the entities of ``mask_map`` and writes them anew; where two overlap the stronger, then the longer, stands."""
     found = []
     for entity in mask_map:
-        weight, pattern, test = ENTITIES[entity]
-        found += [(-weight, m.start() - m.end(), m.start(), m.end(), entity) for m in pattern.finditer(text) if test is None or test(m[0])]
+        weight, pattern, test = (0.85, places(place_names), None) if entity == PLACE else ENTITIES[entity]
+        # of some patterns only a part is the entity
+        part = "it" if "it" in pattern.groupindex else 0
+        found += [(-weight, m.start(part) - m.end(part), *m.span(part), entity) for m in pattern.finditer(text) if test is None or test(m[part])]
     kept: list[tuple[int, int, str]] = []  # in order of place, none overlapping another
     for _, _, a, z, entity in sorted(found):
         i = bisect_left(kept, (z,))
@@ -205,13 +214,10 @@ def mask(text: str, mask_map: dict[str, dict | None]) -> str:
 
 @operator("mask_pii_mapper", "table")
 def mask_pii_mapper(df: DataFrame, field: str, output_field: str, mask_map: dict[str, Any], engine_name: str | None = None) -> DataFrame:
-    """Personal data replaced, redacted, masked, hashed or kept, by entity. Names of people, places and groups need a
-    trained recogniser and are refused."""
+    """Personal data replaced, redacted, masked, hashed or kept, by entity. Names of people, places and groups are found by rules and lists only."""
     configs: dict[str, dict | None] = {}
     for entity, config in mask_map.items():
-        if entity in NEEDS_MODEL:
-            raise ValueError(f"{entity} needs a named-entity model, which is not supported")
-        if entity not in ENTITIES:
+        if entity not in ENTITIES and entity != PLACE:
             raise ValueError(f"unknown entity {entity!r}")
         try:
             config = json.loads(config) if isinstance(config, str) else config
@@ -221,9 +227,11 @@ def mask_pii_mapper(df: DataFrame, field: str, output_field: str, mask_map: dict
             raise ValueError(f"mask_map[{entity!r}] needs a type: replace, redact, mask, hash or keep")
         configs[entity] = config
 
+    names = place_names(df.sparkSession) if PLACE in configs else ()
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else mask(t, configs))
+        return texts.map(lambda t: None if t is None else mask(t, configs, names))
 
     return df.withColumn(output_field, run(F.col(f"`{field}`")))
 

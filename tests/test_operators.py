@@ -344,6 +344,28 @@ def test_languages(spark, tmp_path):
     assert [r.l for r in got] == ["a", "b", None] and got[2].p is None
 
 
+def test_fitted_label_model(spark):
+    """Accuracy on documents that the model was not fitted on; odd rows; nothing to learn from."""
+    from zlib import crc32
+
+    from millrace.functions.label_model import fit_label_model
+    from millrace.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = {r.doc_id: r for r in QUERIES["fitted_label_model"](spark, sf).collect()}
+    out = [i for i in truth if crc32(str(i).encode()) % 3 == 1]
+    assert len(got) == len(truth) and sum(got[i].language == truth[i] for i in out) >= 0.98 * len(out)
+    assert all(0 < r.language_prob <= 1 for r in got.values())
+    rows = [("aa ab", "a"), ("aba", "a"), ("xyz", "x"), (None, "a"), ("zzz", None), ("", "x")]
+    model = json.loads(fit_label_model(spark.createDataFrame(rows, "t string, l string"), "t", "l"))
+    assert model["ngrams"] == [1, 3] and set(model["bias"]) == {"a", "x"} and "zz" not in model["weights"]["a"]
+    assert model["weights"]["a"]["a"] > 0 > model["weights"]["x"]["a"]
+    few = json.loads(fit_label_model(spark.createDataFrame(rows, "t string, l string"), "t", "l", most=2))
+    assert len(few["weights"]["a"]) == 2
+    assert json.loads(fit_label_model(spark.createDataFrame([], "t string, l string"), "t", "l"))["bias"] == {}
+
+
 def test_mask_pii(spark):
     texts = ["XX的手机号码是13111111111，电话号码是：0571-11111111。我的身份证号是330123188807311111。订单号为123456。", "His name is Mr. Jones and his phone number is 212-555-5555", "This operator refers to https://github.com/microsoft/presidio", None]
     chosen = {"PHONE_NUMBER": {"type": "replace", "new_value": "[US_PHONE_NUMBER_MASK]"}, "ZH_ID_CARD": None, "ZH_PHONE_NUMBER": None, "ZH_LANDLINE_NUMBER": None, "URL": None}
@@ -351,11 +373,19 @@ def test_mask_pii(spark):
     assert mapped(spark, "mask_pii_mapper", texts, mask_map=chosen) == want
     more = {"EMAIL_ADDRESS": {"type": "mask", "masking_char": "*", "chars_to_mask": 3, "from_end": False}, "CREDIT_CARD": '{"type": "redact"}'}
     assert mapped(spark, "mask_pii_mapper", ["a@b.co, 4111 1111 1111 1111, 4111 1111 1111 1112"], mask_map=more) == ["***.co, , 4111 1111 1111 1112"]
-    for bad in ({"PERSON": None}, {"URL": {}}, {"NO": None}, {"URL": "{"}):
+    for bad in ({"URL": {}}, {"NO": None}, {"URL": "{"}):
         with pytest.raises(ValueError):
             mapped(spark, "mask_pii_mapper", texts, mask_map=bad)
 
 
+def test_mask_names(spark):
+    """By rules and lists: titles and introductions, countries and cities, nationalities and faiths."""
+    texts = ["His name is Mr. Jones and he lives in New York, not in Deutschland.", "Dr. Ana de la Cruz and the French Catholics met in Berlin.", "my name is Li Wei", "Nothing here is a name, Monday.", "Prices in Chile rose", None]
+    replaced = {k: {"type": "replace", "new_value": f"<{k}>"} for k in ("PERSON", "LOCATION", "NRP")}
+    want = ["His name is Mr. <PERSON> and he lives in <LOCATION>, not in <LOCATION>.", "Dr. <PERSON> and the <NRP> <NRP> met in <LOCATION>.", "my name is <PERSON>", "Nothing here is a name, Monday.", "Prices in <LOCATION> rose", None]
+    assert mapped(spark, "mask_pii_mapper", texts, mask_map=replaced) == want
+
+
 def test_mask_pii_leaves_nothing(spark):
     """On all documents of a table: what plain patterns find in a text is gone from the masked one, and nothing but that."""
     import re
