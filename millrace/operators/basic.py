@@ -12,8 +12,11 @@ from millrace.plans.registry import operator
 
 @operator("explode", "table")
 def explode(df: DataFrame, field: str, exploded_cols: list[str]) -> DataFrame:
-    """A row for each element (one name) or entry (two names); null and empty collections give none."""
-    return df.select("*", F.explode(F.col(f"`{field}`")).alias(*exploded_cols))
+    """A row for each element (one name) or entry (two names); null and empty collections give none.
+
+    Those are dropped afterwards: Spark's own ``explode`` asks for the collection's size first, and so computes a costly one twice.
+    """
+    return df.select("*", F.posexplode_outer(F.col(f"`{field}`")).alias("position_", *exploded_cols)).filter("position_ IS NOT NULL").drop("position_")
 
 
 def _order(df: DataFrame, seed: int):

@@ -228,7 +228,7 @@ def minhash_lsh_deduplicator(
 
     # equal fields are one node, so a huge group of copies is one row from here on
     node = F.unhex(F.md5((col if is_text else F.to_json(col)).cast("binary")))
-    entries = durable(rows.select(node.alias("node"), F.posexplode(bands(tokens)).alias("band", "hash")).distinct())
+    entries = durable(rows.select(node.alias("node"), F.posexplode_outer(bands(tokens)).alias("band", "hash")).distinct())
     first = entries.groupBy("band", "hash").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1")
     links = entries.join(first, ["band", "hash"]).select(F.col("node").alias("u"), "v")
     parts = connected_components(links).select(F.col("node").alias("node_"), "component")

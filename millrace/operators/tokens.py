@@ -104,40 +104,47 @@ def jieba_chinese_tokenizer_mapper(df: DataFrame, col: Column, punctuation_filte
     return tokens(col)
 
 
-def _counts(tokens) -> list[dict]:
-    """The distinct tokens in order of first occurrence."""
-    first: dict = {}
-    for i, t in enumerate(tokens):
-        first.setdefault(t, i)
-    counts = Counter(tokens)
-    return [{"token": t, "tf": counts[t], "pos": i} for t, i in first.items()]
-
-
 def _counted(col: Column) -> Column:
-    @F.pandas_udf("array<struct<token:string,tf:bigint,pos:int>>")
-    def counted(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else _counts(x.tolist()))
+    """The distinct tokens in order of first occurrence, and how often each occurs."""
+
+    @F.pandas_udf("token array<string>, tf array<bigint>")
+    def counted(lists: pd.Series) -> pd.DataFrame:
+        found = [None if x is None else Counter(x.tolist()) for x in lists]
+        return pd.DataFrame({"token": [None if c is None else list(c) for c in found], "tf": [None if c is None else list(c.values()) for c in found]})
 
     return counted(col)
 
 
+#: Distinct tokens whose frequencies are sent to the workers, 16 MB of them at most.
+SENT_TOKENS = 1_000_000
+
+
 def _with_frequencies(df: DataFrame, col: Column, known: DataFrame) -> DataFrame:
-    """``df`` with ``list_`` of (token, tf, pos, df). Few distinct tokens: sent to the workers, so no row is shuffled; else joined."""
-    if not fits(known):
-        rows = durable(df.withColumn("row_", F.monotonically_increasing_id()))
-        each = rows.select("row_", F.explode(_counted(col)).alias("x")).select("row_", "x.*")
+    """``df`` with ``list_`` of (pos, token, tf, df). Few distinct tokens: sent to the workers, so no row is shuffled; else joined."""
+    parts = lambda c: F.arrays_zip(F.col(f"{c}.token").alias("token"), F.col(f"{c}.tf").alias("tf"))
+    if not fits(known, SENT_TOKENS):
+        rows = durable(df.withColumn("row_", F.monotonically_increasing_id()).withColumn("counted_", _counted(col)))
+        each = rows.select("row_", F.posexplode(parts("counted_")).alias("pos", "x")).select("row_", "pos", "x.*")
         met = each.join(known.withColumnRenamed("token", "token_"), F.col("token").eqNullSafe(F.col("token_")))
-        lists = met.groupBy("row_").agg(F.collect_list(F.struct("token", "tf", "pos", "df")).alias("list_"))
-        return rows.join(lists, "row_", "left").drop("row_")
+        lists = met.groupBy("row_").agg(F.collect_list(F.struct("pos", "token", "tf", "df")).alias("list_"))
+        return rows.join(lists, "row_", "left").drop("row_", "counted_")
     table = known.toArrow()
     sent = df.sparkSession.sparkContext.broadcast(dict(zip(table.column("token").to_pylist(), table.column("df").to_pylist(), strict=True)))
 
-    @F.pandas_udf("array<struct<token:string,tf:bigint,pos:int,df:bigint>>")
-    def looked_up(lists: pd.Series) -> pd.Series:
-        frequency = sent.value
-        return lists.map(lambda x: None if x is None else [{**y, "df": frequency[y["token"]]} for y in x])
+    @F.pandas_udf("token array<string>, tf array<bigint>, df array<bigint>")
+    def looked_up(lists: pd.Series) -> pd.DataFrame:
+        frequency = sent.value.__getitem__
+        found = [None if x is None else Counter(x.tolist()) for x in lists]
+        return pd.DataFrame({
+            "token": [None if c is None else list(c) for c in found],
+            "tf": [None if c is None else list(c.values()) for c in found],
+            "df": [None if c is None else list(map(frequency, c)) for c in found],
+        })
 
-    return df.withColumn("list_", looked_up(_counted(col)))
+    met = df.withColumn("found_", looked_up(col))
+    zipped = F.arrays_zip(*(F.col(f"found_.{c}").alias(c) for c in ("token", "tf", "df")))
+    listed = F.transform(zipped, lambda x, i: F.struct(i.alias("pos"), x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df")))
+    return met.withColumn("list_", listed).drop("found_")
 
 
 @operator("tfidf_mapper", "table")
@@ -148,7 +155,9 @@ def tfidf_mapper(df: DataFrame, field: str, output_field: str) -> DataFrame:
     """
     col = F.col(f"`{field}`")
     n = df.count()
-    known = durable(df.select(F.explode(_counted(col)).alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.count("*").alias("df")))
+    # explode_outer: the lists are neither null nor empty, and explode would count them twice to see that
+    each = df.filter(F.size(col) > 0).select(F.explode_outer(_counted(col)["token"]).alias("token"))
+    known = durable(each.groupBy("token").agg(F.count("*").alias("df")))
     score = lambda x: F.bround(x["tf"] * (F.log(F.lit(float(n)) / (x["df"] + 1)) + 1), 4)
     scored = F.transform("list_", lambda x: F.struct((-score(x)).alias("by"), x["pos"].alias("pos"), x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df"), score(x).alias("tfidf")))
     made = F.transform(F.sort_array(scored), lambda x: F.struct(x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df"), x["tfidf"].alias("tfidf")))

@@ -36,11 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return run_operator("regular_path_reader", spark=spark, input_path=f"{sf_dir}/{name}.parquet", format="parquet", spread=spread)
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def _resource(spark: SparkSession, value) -> str:
-    """A JSON file in the shared folder."""
-    path = f"{shared_dir(spark)}/millrace-resource-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
-    return path
+    """A JSON file in the shared folder, written once in a session."""
+    key = spark.sparkContext.applicationId, json.dumps(value, ensure_ascii=False)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/millrace-resource-{uuid.uuid4().hex}"
+        spark.createDataFrame([(key[1],)], "value string").coalesce(1).write.text(path)
+        _written[key] = path
+    return _written[key]
 
 
 def docs(spark, sf_dir, *columns, spread=False):
@@ -128,7 +134,7 @@ def sensitive_doc_filter(spark, sf_dir):
 @query("SELECT doc_id, k.w AS keyword, count(*) AS hits FROM documents, (SELECT unnest(['idiot', 'scum', 'pathetic', 'worthless']) AS w) k, range(1, 100000) r(i) WHERE i < len(string_split(text, k.w)) GROUP BY ALL")
 def sensitive_doc_hits(spark, sf_dir):
     tagged = run_operator("sensitive_doc_filter", docs(spark, sf_dir, spread=True), field="text", sensitive_keyword_paths=[_resource(spark, KEYWORDS)], targeted_keywords_field="hits", mode="tag")
-    return tagged.select("doc_id", F.explode("hits").alias("h")).groupBy("doc_id", F.col("h.keyword").alias("keyword")).agg(F.count("*").alias("hits"))
+    return run_operator("explode", tagged, field="hits", exploded_cols=["h"]).groupBy("doc_id", F.col("h.keyword").alias("keyword")).agg(F.count("*").alias("hits"))
 
 
 HOSTS = ("thanor.example.com", "the.example.net", "tiontion.example.net", "therhe.example.org")
@@ -266,12 +272,12 @@ SHARE = "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE (list_sum(list_tr
 
 @query(SHARE.format("chr(10)"))
 def duplicate_line_chr_fraction(spark, sf_dir):
-    return run_operator("duplicate_line_chr_fraction_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="share", drop=["text"])
+    return run_operator("duplicate_line_chr_fraction_mapper", docs(spark, sf_dir), field="text", output_field="share", drop=["text"])
 
 
 @query(SHARE.format("chr(10) || chr(10)"))
 def duplicate_paragraph_chr_fraction(spark, sf_dir):
-    return run_operator("duplicate_paragraph_chr_fraction_mapper", docs(spark, sf_dir, spread=True), field="text", output_field="share", drop=["text"])
+    return run_operator("duplicate_paragraph_chr_fraction_mapper", docs(spark, sf_dir), field="text", output_field="share", drop=["text"])
 
 
 def _grams(low: int, high: int, name: str, top: bool) -> str:
@@ -298,7 +304,7 @@ def top_ngram_chr_fraction(spark, sf_dir):
   SELECT doc_id, token, tf, df, round_even(tf * (ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)) + 1), 4) AS tfidf FROM c JOIN d USING (token)""")
 def tfidf(spark, sf_dir):
     made = run_operator("tfidf_mapper", with_tokens(docs(spark, sf_dir, spread=True)), field="tokens", output_field="scores")
-    return made.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.token", "s.tf", "s.df", "s.tfidf")
+    return run_operator("explode", made, field="scores", exploded_cols=["s"]).select("doc_id", "s.token", "s.tf", "s.df", "s.tfidf")
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,

@@ -326,7 +326,7 @@ def test_tfidf(spark, monkeypatch):
     want = {1: [("ok", 2, 1, 3.3863), ("no", 1, 1, 1.6931)], 2: [("x", 1, 1, 1.6931)], 3: [], 4: []}
     assert got == want
     # the same where the distinct tokens are too many to send to the workers
-    monkeypatch.setattr(tokens, "fits", lambda df: False)
+    monkeypatch.setattr(tokens, "fits", lambda *_: False)
     joined = run(spark, "tfidf_mapper", rows, "id int, tokens array<string>", field="tokens", output_field="out")
     assert joined.columns == ["id", "tokens", "out"] and {r.id: [tuple(x) for x in r.out] for r in joined.collect()} == want
     odd = run(spark, "tfidf_mapper", [(1, [None, "a", None]), (2, ["a"])], "id int, tokens array<string>", field="tokens", output_field="out")
