@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import binary_fuse
 from millrace.llm.rows import documents, row_tag, staying
-from millrace.plans.durable import broadcast_if_small, durable
+from millrace.plans.durable import broadcast_if_small, discard, durable
 
 KEY = ["sha", "norm_len"]
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
@@ -117,8 +117,9 @@ def exact_dedup(known: DataFrame, incoming: DataFrame) -> DataFrame:
     repeated = durable(_check_bytes(docs, every.filter("n > 1")))
     # ids outside the repeated classes are their own; those inside look their class up
     found = every.filter("n > 1").join(repeated, "sha").select(*KEY, "n", F.bitwise_not("best.inv_id").alias("keep_id"), F.col("best").alias("class_best"))
-    found = broadcast_if_small(durable(found), SMALL)
-    rows = old.unionByName(new).join(found, KEY, "left")
+    found = durable(found)
+    discard(screened, every, repeated, snapshot.classes, snapshot.filters)
+    rows = old.unionByName(new).join(broadcast_if_small(found, SMALL), KEY, "left")
     keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
         "doc_id",
