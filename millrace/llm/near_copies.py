@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm.rows import row_tag, staying
 from millrace.llm.simhash import majority, masks, shingle_hashes
 from millrace.plans.components import connected_components
-from millrace.plans.durable import broadcast_if_small, durable
+from millrace.plans.durable import broadcast_if_small, discard, durable
 
 BANDS, WIDTH = 20, 4
 
@@ -149,7 +149,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
     chunk = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / block)).cast("int")
     links = durable(_links(shared.select("node", "t", "key", chunk.alias("i"), F.lit(0).alias("j")), texts, shingle, similarity))
     more = _unjoined(shared, links, block)
-    return links if more is None else links.unionByName(_links(more, texts, shingle, similarity)).distinct()
+    out = links if more is None else durable(links.unionByName(_links(more, texts, shingle, similarity)).distinct())
+    discard(shared, wanted, texts)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 500) -> DataFrame:
