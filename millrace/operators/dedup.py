@@ -217,7 +217,9 @@ def minhash_lsh_deduplicator(
     col = F.col(f"`{field}`")
     is_text = isinstance(df.schema[field].dataType, T.StringType)
     tokens = F.split(F.lower(col), r"(?U)\W", -1) if is_text else col
-    rows = df.filter(F.coalesce(F.size(tokens) >= text_min_length, F.lit(False)))
+    # a text has a token more than characters to split at
+    n_tokens = F.regexp_count(col, F.lit(r"(?U)\W")) + 1 if is_text else F.size(col)
+    rows = df.filter(F.coalesce(n_tokens >= text_min_length, F.lit(False)))
     if index_field and index_field not in df.columns:
         rows = durable(rows.withColumn(index_field, F.monotonically_increasing_id()))
 
