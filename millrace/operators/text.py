@@ -68,8 +68,8 @@ def edit_distance_mapper(df: DataFrame, fields: list[str], output_field: str) ->
 
 def _repeated_share(col: Column, separator: str) -> Column:
     parts = F.split(col, separator, -1)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    share = (total(parts) - total(F.array_distinct(parts))) / F.length(col)
+    total = F.length(col) - (F.size(parts) - 1) * len(separator)
+    share = (total - F.length(F.array_join(F.array_distinct(parts), ""))) / F.length(col)
     return F.when(F.length(col) == 0, F.lit(0.0)).otherwise(share).cast("float")
 
 
