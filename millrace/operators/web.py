@@ -130,9 +130,11 @@ def css_extraction_mapper(df: DataFrame, col: Column) -> Column:
 
 
 @operator("dom_element_extraction_mapper", "map")
-def dom_element_extraction_mapper(df: DataFrame, col: Column, css_selector: str | None = None, xpath_selector: str | None = None) -> Column:
+def dom_element_extraction_mapper(df: DataFrame, col: Column, css_selector: str | None = None, xpath_selector: str | None = None, as_written: bool = False) -> Column:
     """The HTML of the elements that one selector matches, in document order; empty where none does, null stays null.
 
+    It is serialised anew, so quotes and character references may differ from the page's. ``as_written``: what stands in the page, letter by letter.
+
     CSS: types, ``*``, ``.class``, ``#id``, ``[attr]`` with ``= ~= ^= $= *=``, ``:first-child``, ``:nth-child(n)``, the four combinators and
     lists. XPath: ``/`` and ``//`` steps, ``*``, ``[n]``, ``[@a]``, ``[@a='v']``, ``contains(@a, 'v')``.
     """
@@ -143,7 +145,7 @@ def dom_element_extraction_mapper(df: DataFrame, col: Column, css_selector: str
 
     @F.pandas_udf("string")
     def pick(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else "".join(e.html() for e in chosen(parse(p))))
+        return pages.map(lambda p: None if p is None else "".join(p[e.start : e.end] if as_written else e.html() for e in chosen(parse(p))))
 
     return pick(col)
 

@@ -366,7 +366,7 @@ def css_extraction(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, '<article.*?(<h1>.*?</h1>)', 1, 's') AS heads FROM pages")
 def dom_element_extraction(spark, sf_dir):
-    return run_operator("dom_element_extraction_mapper", table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), field="html", output_field="heads", css_selector="article h1", drop=["html"])
+    return run_operator("dom_element_extraction_mapper", table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), field="html", output_field="heads", css_selector="article h1", as_written=True, drop=["html"])
 
 
 def _treebank() -> str:

@@ -291,6 +291,28 @@ def test_html(spark):
             pick(**bad)
 
 
+def test_elements_as_written(spark):
+    """Elements as they stand in the page: references and quotes stay, tags may be missing; ``article h1`` equals the query's SQL."""
+    pick = lambda page, **p: mapped(spark, "dom_element_extraction_mapper", [page], as_written=True, **p)[0]
+    page = "<article>\n<h1>a&amp;&amp</h1\n><p>x\r\n<p class='b'>&quot;y&quot; &am<br><img src=a>\n<li>1<li>2</article><h1>z &lt"
+    assert pick(page, css_selector="article h1") == "<h1>a&amp;&amp</h1\n>" and pick(page, css_selector="h1 + p") == "<p>x\r\n"
+    assert pick(page, css_selector="p.b") == "<p class='b'>&quot;y&quot; &am<br><img src=a>\n<li>1<li>2" and pick(page, css_selector="li") == "<li>1<li>2"
+    assert pick(page, css_selector="br, img") == "<br><img src=a>" and pick(page, xpath_selector="/h1") == "<h1>z &lt"
+    assert pick(page, css_selector="article") == page.removesuffix("<h1>z &lt") and pick("<p", css_selector="p") == ""
+
+
+def test_heads_of_pages_with_broken_references(spark, tmp_path):
+    import duckdb
+
+    from millrace.queries import QUERIES, SQL
+
+    texts = ["a&amp;&amp", "b&amp;&am", 'token = &quot;0b', "c", 'd "e" &#x27;f']
+    rows = [(i, f"<html><title>{t}</title><script>var t='</p>';</script><article>\n<h1>{t}</h1><p>{t}</p></article></html>") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(SQL["dom_element_extraction"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["dom_element_extraction"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_tokenizers(spark):
     got = mapped(spark, "nltk_tokenizer_mapper", ["Don't forget to contact me if you have any questions. E-mail: qq82625757@gmail.com", None, ""])
     assert got[1:] == [None, []]
