@@ -6,14 +6,17 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.lists import read_text
 from millrace.plans.durable import durable, fits
+from millrace.plans.parts import in_parts
 from millrace.plans.registry import operator
 
 #: The Penn Treebank tokenizer's published substitutions, in their order, as (pattern, replacement).
@@ -104,15 +107,18 @@ def jieba_chinese_tokenizer_mapper(df: DataFrame, col: Column, punctuation_filte
     return tokens(col)
 
 
-def _counted(col: Column) -> Column:
-    """The distinct tokens in order of first occurrence, and how often each occurs."""
+def _counts(lists: pa.Array, frequency: Callable | None = None) -> pa.Array:
+    """Of each list the distinct tokens in order of first occurrence, how often each occurs, and its ``frequency`` if that is given."""
+    found = [None if x is None else Counter(x) for x in lists.to_pylist()]
+    made = {"token": pa.array([None if c is None else list(c) for c in found], pa.list_(pa.string())), "tf": pa.array([None if c is None else list(c.values()) for c in found], pa.list_(pa.int64()))}
+    if frequency:
+        made["df"] = pa.array([None if c is None else list(map(frequency, c)) for c in found], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays(list(made.values()), list(made))
 
-    @F.pandas_udf("token array<string>, tf array<bigint>")
-    def counted(lists: pd.Series) -> pd.DataFrame:
-        found = [None if x is None else Counter(x.tolist()) for x in lists]
-        return pd.DataFrame({"token": [None if c is None else list(c) for c in found], "tf": [None if c is None else list(c.values()) for c in found]})
 
-    return counted(col)
+def _counted(col: Column) -> Column:
+    """The distinct tokens in order of first occurrence, and how often each occurs."""
+    return in_parts("token array<string>, tf array<bigint>", _counts)(col)
 
 
 #: Distinct tokens whose frequencies are sent to the workers, 16 MB of them at most.
@@ -131,16 +137,7 @@ def _with_frequencies(df: DataFrame, col: Column, known: DataFrame) -> DataFrame
     table = known.toArrow()
     sent = df.sparkSession.sparkContext.broadcast(dict(zip(table.column("token").to_pylist(), table.column("df").to_pylist(), strict=True)))
 
-    @F.pandas_udf("token array<string>, tf array<bigint>, df array<bigint>")
-    def looked_up(lists: pd.Series) -> pd.DataFrame:
-        frequency = sent.value.__getitem__
-        found = [None if x is None else Counter(x.tolist()) for x in lists]
-        return pd.DataFrame({
-            "token": [None if c is None else list(c) for c in found],
-            "tf": [None if c is None else list(c.values()) for c in found],
-            "df": [None if c is None else list(map(frequency, c)) for c in found],
-        })
-
+    looked_up = in_parts("token array<string>, tf array<bigint>, df array<bigint>", lambda lists: _counts(lists, sent.value.__getitem__))
     met = df.withColumn("found_", looked_up(col))
     zipped = F.arrays_zip(*(F.col(f"found_.{c}").alias(c) for c in ("token", "tf", "df")))
     listed = F.transform(zipped, lambda x, i: F.struct(i.alias("pos"), x["token"].alias("token"), x["tf"].alias("tf"), x["df"].alias("df")))

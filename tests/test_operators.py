@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import millrace.operators  # noqa: F401
 from millrace.plans.pipeline import run_operator
@@ -355,6 +356,44 @@ def test_tfidf(spark, monkeypatch):
     assert {r.id: sorted(str(x.token) for x in r.out) for r in odd.collect()} == {1: ["None", "a"], 2: ["a"]}
 
 
+def test_parts_of_batches():
+    """A batch is dealt with in parts of bounded bytes, in order, each row once; long rows stand alone."""
+    import pyarrow as pa
+
+    from millrace.plans.parts import parts
+
+    texts = pa.array([None, "", "a" * 5000, *["b" * 90] * 100, "c", None])
+    lists = pa.array([None, [], ["d" * 50] * 100, *[["e", None] * 20] * 100])
+    for rows in (texts, lists, texts[3:60], lists[2:50], texts[:0], pa.RecordBatch.from_arrays([texts], ["t"])):
+        made = list(parts(rows, 1000))
+        assert [x for p in made for x in p.to_pylist()] == rows.to_pylist() and all(p.nbytes <= 1000 or len(p) == 1 for p in made)
+
+
+def peak_mb(monkeypatch, build, batch):
+    """MB of Python objects that the worker's function of ``build()`` makes at once from one batch, which it must answer row by row."""
+    import tracemalloc
+
+    given, plain = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda fn: given.append(fn) or plain(kind)(fn))
+    build()
+    tracemalloc.start()
+    try:
+        assert sum(map(len, given[0](iter([batch])))) == len(batch)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_tfidf(spark, monkeypatch):
+    """A batch of 8,000 lists of 400 tokens: by parts, not all as Python objects (over 300 MB)."""
+    import pyarrow as pa
+
+    from millrace.operators import tokens
+
+    batch = pa.array([[f"t{i}-{j}" for j in range(400)] for i in range(40)] * 200)
+    assert peak_mb(monkeypatch, lambda: tokens._counted(F.lit(None).cast("array<string>")), batch) < 60
+
+
 def test_languages(spark, tmp_path):
     texts = ["你好呀，今天过得怎么样？", "Hello, how are you doing today?", "こんにちは、今日はどうですか？", "Bonjour, comment vas-tu aujourd'hui ?", "مرحبًا، كيف كان يومك اليوم؟", "Привет! Как прошел твой день?", "안녕하세요! 오늘 어떻게 지내셨어요?", None]
     got = run(spark, "language_identification_mapper", [(t,) for t in texts], "content string", field="content", output_field="lang").collect()
