@@ -95,16 +95,16 @@ def jieba_chinese_tokenizer_mapper(df: DataFrame, col: Column, punctuation_filte
     """
     sent = df.sparkSession.sparkContext.broadcast(read_text(dictionary_path) if dictionary_path else "")
 
-    @F.pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if not t:
-                return None
-            return [w for w in segment(t, sent.value) if not (punctuation_filter and any(unicodedata.category(c).startswith("P") for c in w))]
+    def plain(w):
+        return w.isalnum() or w.isspace() or not any(unicodedata.category(c).startswith("P") for c in w)
 
-        return texts.map(one)
+    def one(t):
+        if not t:
+            return None
+        words = segment(t, sent.value)
+        return list(filter(plain, words)) if punctuation_filter else words
 
-    return tokens(col)
+    return in_parts("array<string>", lambda texts: pa.array(map(one, texts.to_pylist()), pa.list_(pa.string())))(col)
 
 
 def _counts(lists: pa.Array, frequency: Callable | None = None) -> pa.Array:

@@ -394,6 +394,26 @@ def test_memory_of_tfidf(spark, monkeypatch):
     assert peak_mb(monkeypatch, lambda: tokens._counted(F.lit(None).cast("array<string>")), batch) < 60
 
 
+def test_memory_of_chinese_words(spark, monkeypatch):
+    """A batch of 2,000 texts of 800 tokens: by parts, not all as Python objects."""
+    import pyarrow as pa
+
+    from millrace.operators.tokens import jieba_chinese_tokenizer_mapper
+
+    batch = pa.array([" ".join(f"word{i}" for i in range(k, k + 400)) for k in range(40)] * 50)
+    assert peak_mb(monkeypatch, lambda: jieba_chinese_tokenizer_mapper(spark.range(1), F.lit("")), batch) < 40
+
+
+def test_memory_of_minhash(spark, monkeypatch):
+    """A batch of 80 lists of 8,000 tokens: by parts, not all as Python objects; few permutations, for time."""
+    import pyarrow as pa
+
+    lists = spark.createDataFrame([], "tokens array<string>")
+    batch = pa.array([[f"token{i}-{j}" for j in range(8000)] for i in range(20)] * 4)
+    build = lambda: run_operator("minhash_lsh_deduplicator", lists, field="tokens", num_perm=4, b=2, r=2)
+    assert peak_mb(monkeypatch, build, batch) < 40
+
+
 def test_languages(spark, tmp_path):
     texts = ["你好呀，今天过得怎么样？", "Hello, how are you doing today?", "こんにちは、今日はどうですか？", "Bonjour, comment vas-tu aujourd'hui ?", "مرحبًا، كيف كان يومك اليوم؟", "Привет! Как прошел твой день?", "안녕하세요! 오늘 어떻게 지내셨어요?", None]
     got = run(spark, "language_identification_mapper", [(t,) for t in texts], "content string", field="content", output_field="lang").collect()
