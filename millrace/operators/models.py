@@ -8,20 +8,22 @@ import math
 import os
 import re
 from bisect import bisect_left
-from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.chat_client import ChatClient, as_json, retried
+from millrace.functions.label_model import GramScores
 from millrace.functions.lists import read_text
 from millrace.functions.names import NRP, PERSON, place_names, places
 from millrace.operators.web import _DATE
+from millrace.plans.parts import in_parts
 from millrace.plans.registry import operator
 
 #: Scripts that speak for one language, as regular expressions.
@@ -62,11 +64,15 @@ def language_of(text: str) -> tuple[str, float]:
 
 
 def _label_and_prob(df: DataFrame, field: str, output_field: str, prob_field: str, predict) -> DataFrame:
-    @F.pandas_udf("label string, prob double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else predict(t) for t in texts], columns=["label", "prob"]).astype({"prob": "float64"})
+    """``predict``: labels and probabilities of a list of texts."""
 
-    made = df.withColumn("made_", run(F.col(f"`{field}`")))
+    def run(texts: pa.Array) -> pa.Array:
+        given = texts.to_pylist()
+        found = iter(predict([t for t in given if t is not None]))
+        rows = [(None, None) if t is None else next(found) for t in given]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["label", "prob"])
+
+    made = df.withColumn("made_", in_parts("label string, prob double", run)(F.col(f"`{field}`")))
     return made.withColumn(output_field, F.col("made_.label")).withColumn(prob_field, F.col("made_.prob")).drop("made_")
 
 
@@ -85,28 +91,18 @@ def _fasttext(path: str):
 
 @lru_cache(2)
 def _classifier(model: str):
-    """``model``: ``{"ngrams": [low, high], "bias": {label: b}, "weights": {label: {gram: w}}}``."""
-    spec = json.loads(model)
-    low, high = spec.get("ngrams", [1, 3])
-
-    def predict(t):
-        grams = Counter(t[i : i + n] for n in range(low, high + 1) for i in range(len(t) - n + 1))
-        size = sum(grams.values()) or 1
-        scores = {k: spec.get("bias", {}).get(k, 0.0) + sum(w.get(g, 0.0) * c for g, c in grams.items()) / size for k, w in spec["weights"].items()}
-        best = max(sorted(scores), key=scores.get)
-        return best, 1 / sum(math.exp(v - scores[best]) for v in scores.values())
-
-    return predict
+    return GramScores(json.loads(model))
 
 
 def _predictor(df: DataFrame, model_path: str, label_prefix: str):
-    """A function for the workers; a JSON model is read here and sent to them."""
+    """A function of a list of texts for the workers; a JSON model is read here and sent to them."""
     binary = model_path.endswith((".bin", ".ftz"))
     sent = None if binary else df.sparkSession.sparkContext.broadcast(read_text(model_path))
 
-    def predict(t):
-        label, prob = (_fasttext(model_path) if binary else _classifier(sent.value))(t.replace("\n", ""))
-        return label.removeprefix(label_prefix), prob
+    def predict(texts):
+        plain = [t.replace("\n", "") for t in texts]
+        found = list(map(_fasttext(model_path), plain)) if binary else _classifier(sent.value)(plain)
+        return [(label.removeprefix(label_prefix), prob) for label, prob in found]
 
     return predict
 
@@ -114,7 +110,7 @@ def _predictor(df: DataFrame, model_path: str, label_prefix: str):
 @operator("language_identification_mapper", "table")
 def language_identification_mapper(df: DataFrame, field: str, output_field: str, prob_field: str = "language_prob", label_prefix: str = "__label__", model_path: str | None = None) -> DataFrame:
     """Language and its probability; null gives nulls. By ``model_path``, as in ``fasttext_model_mapper``, or else from scripts, frequent words and letters."""
-    return _label_and_prob(df, field, output_field, prob_field, _predictor(df, model_path, label_prefix) if model_path else language_of)
+    return _label_and_prob(df, field, output_field, prob_field, _predictor(df, model_path, label_prefix) if model_path else lambda texts: list(map(language_of, texts)))
 
 
 @operator("fasttext_model_mapper", "table")

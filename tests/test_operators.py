@@ -447,6 +447,30 @@ def test_fitted_label_model(spark):
     assert json.loads(fit_label_model(spark.createDataFrame([], "t string, l string"), "t", "l"))["bias"] == {}
 
 
+@pytest.mark.parametrize("dense", [1 << 22, 0])
+def test_grams_as_plain_counting(monkeypatch, dense):
+    """Counts and scores of n-grams by arrays, with tables and with sorted keys, are those of plain counting."""
+    import math
+    import random
+    from collections import Counter
+
+    from millrace.functions import label_model
+
+    monkeypatch.setattr(label_model, "DENSE", dense)
+    draw = random.Random(1)
+    for low, high, letters in ((1, 3, "ab é\t"), (1, 1, "abc"), (2, 5, "xyz\U0001f600"), (1, 14, "".join(map(chr, range(200, 260))))):
+        texts = ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(60)] + [""]
+        want = Counter(t[i : i + n] for t in texts for n in range(low, high + 1) for i in range(len(t) - n + 1))
+        got = list(label_model.gram_counts(texts, low, high))
+        assert dict(got) == want and len(got) == len(want)
+        spec = {"ngrams": [low, high], "bias": {"q": 0.1}, "weights": {k: {g: draw.uniform(-9, 9) for g in draw.sample(sorted(want), min(len(want), 40))} for k in "prq"}}
+        for t, (label, prob) in zip([*texts, "zz~"], label_model.GramScores(spec)([*texts, "zz~"]), strict=True):
+            grams = Counter(t[i : i + n] for n in range(low, high + 1) for i in range(len(t) - n + 1))
+            scores = {k: spec["bias"].get(k, 0.0) + sum(w.get(g, 0.0) * c for g, c in grams.items()) / (sum(grams.values()) or 1) for k, w in spec["weights"].items()}
+            assert scores[label] == max(scores.values()) and prob == pytest.approx(1 / sum(math.exp(v - scores[label]) for v in scores.values()))
+    assert not list(label_model.gram_counts([], 1, 3))
+
+
 def test_mask_pii(spark):
     texts = ["XX的手机号码是13111111111，电话号码是：0571-11111111。我的身份证号是330123188807311111。订单号为123456。", "His name is Mr. Jones and his phone number is 212-555-5555", "This operator refers to https://github.com/microsoft/presidio", None]
     chosen = {"PHONE_NUMBER": {"type": "replace", "new_value": "[US_PHONE_NUMBER_MASK]"}, "ZH_ID_CARD": None, "ZH_PHONE_NUMBER": None, "ZH_LANDLINE_NUMBER": None, "URL": None}
