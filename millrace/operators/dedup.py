@@ -8,7 +8,6 @@ from functools import lru_cache
 from typing import Any, Literal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.plans.components import connected_components
 from millrace.plans.durable import broadcast_if_small, durable
+from millrace.plans.parts import in_parts
 from millrace.plans.registry import operator
 
 DedupMode = Literal["dedup", "dup", "dedup_with_dup"]
@@ -223,14 +223,13 @@ def minhash_lsh_deduplicator(
     if index_field and index_field not in df.columns:
         rows = durable(rows.withColumn(index_field, F.monotonically_increasing_id()))
 
-    @F.pandas_udf("array<long>")
-    def bands(lists: pd.Series) -> pd.Series:
+    def bands(lists: pa.Array) -> pa.Array:
         sign = Bands(num_perm, b, r, seed)
-        return pd.Series([sign(gram_hashes(["" if t is None else t for t in x], ngram_size)) for x in lists])
+        return pa.array((sign(gram_hashes(["" if t is None else t for t in x], ngram_size)) for x in lists.to_pylist()), pa.list_(pa.int64()))
 
     # equal fields are one node, so a huge group of copies is one row from here on
     node = F.unhex(F.md5((col if is_text else F.to_json(col)).cast("binary")))
-    entries = durable(rows.select(node.alias("node"), F.posexplode_outer(bands(tokens)).alias("band", "hash")).distinct())
+    entries = durable(rows.select(node.alias("node"), F.posexplode_outer(in_parts("array<long>", bands)(tokens)).alias("band", "hash")).distinct())
     first = entries.groupBy("band", "hash").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1")
     links = entries.join(first, ["band", "hash"]).select(F.col("node").alias("u"), "v")
     parts = connected_components(links).select(F.col("node").alias("node_"), "component")
